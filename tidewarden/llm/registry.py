@@ -6,16 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewarden.llm import url_filters
+from tidewarden.llm import decontamination, quality_rules, url_filters
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_decontamination": decontamination.op1_decontamination,
         "op8_url_filters": url_filters.op8_url_filters,
+        "op9_quality_rules": quality_rules.op9_quality_rules,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_decontamination": decontamination.ORACLE,
         "op8_url_filters": url_filters.ORACLE,
+        "op9_quality_rules": quality_rules.ORACLE,
     }

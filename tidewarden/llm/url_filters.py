@@ -6,9 +6,10 @@ their end points cut the key space into segments, each with a stack of the rules
 active in it. URLs and segment starts are sorted together, and a running ``last`` carries
 the stack of the latest segment on to the URLs that follow: one sweep, no pairs.
 
-The sweep runs in many independent lanes. A URL's lane is a hash of its row, so a host
-with a third of all rows spreads over all lanes; each lane gets its own copy of the
-segments. The number of lanes is bounded so that the copies never outgrow the URLs.
+The sweep runs in many independent lanes. URLs are dealt to lanes in turn, so a host, or
+one repeated row, with a third of all rows spreads over all lanes. Each lane sorts its own
+copy of the segments in, ``lanes`` x 2 rows for each host that has a rule; set ``lanes``
+lower where the rule table is of the order of the URLs in a lane.
 
 Defined cases: a null URL, or one without ``://``, has an empty host and path and gets the
 default verdict; repeated rows stay; an empty table gives an empty result; an empty rule
@@ -123,18 +124,21 @@ def segments(rules: DataFrame) -> DataFrame:
 
 
 def judge(
-    urls: DataFrame, rules: DataFrame, default: str = DEFAULT_VERDICT, id_col: str = "page_id"
+    urls: DataFrame,
+    rules: DataFrame,
+    default: str = DEFAULT_VERDICT,
+    id_col: str = "page_id",
+    lanes: int | None = None,
 ) -> DataFrame:
     """(id, host, path, rule, verdict) of every row of ``urls`` (id, url)."""
-    spark = urls.sparkSession
     cuts = segments(rules)
-    lanes = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    lanes = lanes or 4 * int(urls.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keyed = urls.select(
         F.col(id_col).alias(id_col),
         url_host(F.col("url")).alias("host"),
         url_path(F.col("url")).alias("path"),
     ).select(
-        F.pmod(F.xxhash64(id_col, "host", "path"), F.lit(lanes)).cast("int").alias("lane"),
+        F.pmod(F.monotonically_increasing_id(), F.lit(lanes)).cast("int").alias("lane"),
         host_key(F.col("host")).alias("key"),
         F.lit(1).alias("is_url"),
         id_col,
