@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewarden.llm import decontamination, quality_rules, url_filters
+from tidewarden.llm import decontamination, mixing, quality_rules, token_output, url_filters
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": decontamination.op1_decontamination,
+        "op3_token_output": token_output.op3_token_output,
+        "op7_mixing": mixing.op7_mixing,
         "op8_url_filters": url_filters.op8_url_filters,
         "op9_quality_rules": quality_rules.op9_quality_rules,
     }
