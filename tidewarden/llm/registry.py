@@ -6,7 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewarden.llm import decontamination, mixing, quality_rules, token_output, url_filters
+from tidewarden.llm import (
+    decontamination,
+    mixing,
+    quality_rules,
+    simhash,
+    token_output,
+    url_filters,
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_mixing": mixing.op7_mixing,
         "op8_url_filters": url_filters.op8_url_filters,
         "op9_quality_rules": quality_rules.op9_quality_rules,
+        "op10_simhash": simhash.op10_simhash,
     }
 
 
