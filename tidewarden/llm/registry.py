@@ -10,6 +10,7 @@ from tidewarden.llm import (
     decontamination,
     mixing,
     quality_rules,
+    secret_scan,
     simhash,
     token_output,
     url_filters,
@@ -20,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": decontamination.op1_decontamination,
         "op3_token_output": token_output.op3_token_output,
+        "op4_secret_scan": secret_scan.op4_secret_scan,
         "op7_mixing": mixing.op7_mixing,
         "op8_url_filters": url_filters.op8_url_filters,
         "op9_quality_rules": quality_rules.op9_quality_rules,
