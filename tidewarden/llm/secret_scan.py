@@ -167,10 +167,11 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     found = scan(docs, scratch_path(spark, "secret-ledger"))
     base = F.filter("spans", lambda s: s["kind"].isin(*BASE_KINDS))
-    counts = [
-        F.size(F.filter("spans", lambda s, k=kind: s["kind"] == k)).cast("bigint").alias(f"n_{kind}")
-        for kind in BASE_KINDS
-    ]
+
+    def number(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint")
+
+    counts = [number(kind).alias(f"n_{kind}") for kind in BASE_KINDS]
     return found.select(
         "doc_id",
         *counts,
