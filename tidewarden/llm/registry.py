@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tidewarden.llm import (
     decontamination,
     mixing,
+    pii,
     quality_rules,
     secret_scan,
     simhash,
@@ -22,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_decontamination": decontamination.op1_decontamination,
         "op3_token_output": token_output.op3_token_output,
         "op4_secret_scan": secret_scan.op4_secret_scan,
+        "op6_pii": pii.op6_pii,
         "op7_mixing": mixing.op7_mixing,
         "op8_url_filters": url_filters.op8_url_filters,
         "op9_quality_rules": quality_rules.op9_quality_rules,
