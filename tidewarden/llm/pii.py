@@ -67,6 +67,7 @@ YES_WORDS = (
 NO_WORDS = "version|ver|isbn|issn|doi|order|invoice|build|release|page|figure|table|section|no"
 CONTEXT = 24
 ITERATIONS = 25
+PART = 128
 
 
 def luhn(digits: Column) -> Column:
@@ -173,9 +174,15 @@ def candidates(
                 votes.alias("votes"),
                 features.alias("features"),
             )
+            # Appending copies an array, so spans gather in parts of bounded length.
+            good, is_full = valid(match), F.size(acc["part"]) >= PART
             return F.struct(
                 (start + F.length(match)).alias("pos"),
-                F.when(valid(match), F.concat(acc["out"], F.array(one)))
+                F.when(good & is_full, F.array(one))
+                .when(good, F.concat(acc["part"], F.array(one)))
+                .otherwise(acc["part"])
+                .alias("part"),
+                F.when(good & is_full, F.concat(acc["out"], F.array(acc["part"])))
                 .otherwise(acc["out"])
                 .alias("out"),
             )
@@ -184,9 +191,13 @@ def candidates(
             F.size(x["matches"]) > 0,
             F.aggregate(
                 F.sequence(F.lit(0), F.size(x["matches"]) - 1),
-                F.struct(F.lit(0).cast("bigint").alias("pos"), none.alias("out")),
+                F.struct(
+                    F.lit(0).cast("bigint").alias("pos"),
+                    none.alias("part"),
+                    F.array(none).alias("out"),
+                ),
                 step,
-                lambda acc: acc["out"],
+                lambda acc: F.concat(F.flatten(acc["out"]), acc["part"]),
             ),
         ).otherwise(none)
 
