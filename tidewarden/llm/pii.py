@@ -67,7 +67,8 @@ YES_WORDS = (
 NO_WORDS = "version|ver|isbn|issn|doi|order|invoice|build|release|page|figure|table|section|no"
 CONTEXT = 24
 ITERATIONS = 25
-PART = 128
+#: Matches whose places are summed up together.
+PART = 64
 
 
 def luhn(digits: Column) -> Column:
@@ -174,30 +175,50 @@ def candidates(
                 votes.alias("votes"),
                 features.alias("features"),
             )
-            # Appending copies an array, so spans gather in parts of bounded length.
-            good, is_full = valid(match), F.size(acc["part"]) >= PART
             return F.struct(
                 (start + F.length(match)).alias("pos"),
-                F.when(good & is_full, F.array(one))
-                .when(good, F.concat(acc["part"], F.array(one)))
-                .otherwise(acc["part"])
-                .alias("part"),
-                F.when(good & is_full, F.concat(acc["out"], F.array(acc["part"])))
+                F.when(valid(match), F.concat(acc["out"], F.array(one)))
                 .otherwise(acc["out"])
                 .alias("out"),
             )
 
-        return F.when(
-            F.size(x["matches"]) > 0,
-            F.aggregate(
-                F.sequence(F.lit(0), F.size(x["matches"]) - 1),
-                F.struct(
-                    F.lit(0).cast("bigint").alias("pos"),
-                    none.alias("part"),
-                    F.array(none).alias("out"),
+        # Each step copies what has gathered, so matches go in parts of bounded length.
+        n = F.size(x["matches"])
+        parts = F.sequence(F.lit(0), F.floor((n - 1) / PART).cast("int"))
+        sizes = F.zip_with(
+            x["matches"], F.slice(x["gaps"], F.lit(1), n), lambda m, g: F.length(m) + F.length(g)
+        )
+
+        def part_starts(sizes: Column) -> Column:
+            sums = F.transform(
+                parts,
+                lambda b: F.aggregate(
+                    F.slice(sizes, b * PART + 1, F.lit(PART)),
+                    F.lit(0).cast("bigint"),
+                    lambda a, size: a + size,
                 ),
+            )
+            return F.aggregate(
+                sums,
+                F.array(F.lit(0).cast("bigint")),
+                lambda a, total: F.concat(a, F.array(F.element_at(a, -1) + total)),
+            )
+
+        def of_part(b: Column, start: Column) -> Column:
+            return F.aggregate(
+                F.sequence(b * PART, F.least(b * PART + PART, n) - 1),
+                F.struct(start.alias("pos"), none.alias("out")),
                 step,
-                lambda acc: F.concat(F.flatten(acc["out"]), acc["part"]),
+                lambda acc: acc["out"],
+            )
+
+        return F.when(
+            n > 0,
+            let(
+                let(sizes, part_starts),
+                lambda starts: F.flatten(
+                    F.transform(parts, lambda b: of_part(b, F.get(starts, b)))
+                ),
             ),
         ).otherwise(none)
 

@@ -202,7 +202,7 @@ class Encoder:
         return b"".join(iter(lambda: self._joined(list(islice(found, 1 << 20))), b""))
 
     def _joined(self, words: list[str]) -> bytes:
-        new = set(words) - self.words.keys()
+        new = set(words).difference(self.words)  # walks the set, not the words known
         if new:
             if len(self.words) + len(new) > CACHE_WORDS:
                 self.words.clear()
