@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidewarden.llm import (
     decontamination,
+    html_extraction,
     mixing,
     pii,
+    quality_classifier,
     quality_rules,
     secret_scan,
     simhash,
@@ -21,8 +23,10 @@ from tidewarden.llm import (
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": decontamination.op1_decontamination,
+        "op2_quality_classifier": quality_classifier.op2_quality_classifier,
         "op3_token_output": token_output.op3_token_output,
         "op4_secret_scan": secret_scan.op4_secret_scan,
+        "op5_html_extraction": html_extraction.op5_html_extraction,
         "op6_pii": pii.op6_pii,
         "op7_mixing": mixing.op7_mixing,
         "op8_url_filters": url_filters.op8_url_filters,
