@@ -1,4 +1,104 @@
-"""The corpus pipeline: stages over documents, each one an operator of tidewarden.llm."""
+"""The corpus pipeline: documents to token shards, each stage an operator of tidewarden.llm.
 
-STAGES: list = []
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes it as Parquet
+in the shared folder and reads it back as the next stage's documents. All but the last
+return the columns of documents.
+
+1. quality rules       documents that the rules reject go
+2. near duplicates     the least doc_id of each SimHash component stays
+3. decontamination     documents with a window of a benchmark item go
+4. mixing              documents come as often as the mix takes them, in its shards' order
+5. token output        token shards, read back: a row for each document of the mix
+
+The ids that go are counted; while they are few they are broadcast and texts are filtered
+where they lie, and beyond that they are joined by shuffles. doc_ids name documents: where
+rows repeat one, near-duplicate removal keeps one of those rows.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidewarden.llm import decontamination, mixing, quality_rules, simhash, token_output
+from tidewarden.llm.shared import scratch_path, sized, written
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def without(docs: DataFrame, gone: DataFrame, name: str) -> DataFrame:
+    """Rows of ``docs`` whose doc_id is not among those ``gone``, null or not."""
+    gone = written(gone.select(F.col("doc_id").alias("gone_id")).distinct(), name)
+    gone = sized(gone, gone.count(), 16)
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")), "left_anti")
+
+
+def keep_by_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    judged = quality_rules.verdicts(docs)
+    return without(docs, judged.where("not kept"), "pipeline-rejected").select(*COLUMNS)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = written(simhash.near_duplicates(docs), "pipeline-components")
+    kept = without(docs, found.where("doc_id <> component_id"), "pipeline-copies").select(*COLUMNS)
+    repeated = found.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if not repeated.limit(1).count():
+        return kept
+    once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return without(kept, repeated, "pipeline-repeated").unionByName(once)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    hits = decontamination.hits(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return without(docs, hits.where(decontamination.contaminated()), "pipeline-leaks").select(
+        *COLUMNS
+    )
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(docs, whole_documents=True)
+    copies = written(
+        mixed.select("doc_id", F.explode("copies").alias("c")).select(
+            F.col("doc_id").alias("own_id"), "c.shard", "c.order_key"
+        ),
+        "pipeline-mix",
+    )
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return (
+        docs.join(copies, F.col("doc_id") == F.col("own_id"))
+        .repartitionByRange(parts, "shard", "order_key")
+        .sortWithinPartitions("shard", "order_key")
+        .select(*COLUMNS)
+    )
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = scratch_path(spark, "pipeline-shards")
+    manifest = token_output.write_shards(docs, public_tokenizers.path("byte_bpe_50k.json"), path)
+    return token_output.read_shards(manifest)
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality rules", keep_by_rules),
+    ("near duplicates", drop_near_duplicates),
+    ("decontamination", decontaminate),
+    ("mixing", mix_sources),
+    ("token output", tokens),
+]
+
+#: Fingerprints, hashed permutations and token ids have no SQL; tests compare by brute force.
 ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows, over the documents of ``sf_dir``."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = written(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
+    return docs
