@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from tidewarden.llm import (
     decontamination,
     html_extraction,
@@ -32,12 +33,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_url_filters": url_filters.op8_url_filters,
         "op9_quality_rules": quality_rules.op9_quality_rules,
         "op10_simhash": simhash.op10_simhash,
+        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {
+    found = {
         "op1_decontamination": decontamination.ORACLE,
         "op8_url_filters": url_filters.ORACLE,
         "op9_quality_rules": quality_rules.ORACLE,
     }
+    if corpus_pipeline.ORACLE_SQL:
+        found["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return found
