@@ -53,7 +53,7 @@ SHARD_IDS = 64 << 20
 #: Ids that a reader holds at once, but for a longer document.
 READ_IDS = 4 << 20
 #: Pre-tokens whose ids a worker remembers; then it starts afresh.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_000_000
 #: One of so many select samples.
 SAMPLE = 256
 MAGIC = int.from_bytes(b"TWSHARD1", "little")
@@ -225,6 +225,16 @@ class Encoder:
                 self.words[word] = np.array(self._ids(word), self.dtype).tobytes()
 
 
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder_of(path: str) -> Encoder:
+    """This worker's encoder of a tokenizer file; it outlives a task."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
+
+
 def write_shards(docs: DataFrame, tokenizer: str, path: str) -> DataFrame:
     """Write ``docs`` (doc_id, text) as shards under ``path``; their manifest, in order.
 
@@ -236,7 +246,7 @@ def write_shards(docs: DataFrame, tokenizer: str, path: str) -> DataFrame:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
+        encoder = encoder_of(tokenizer)
         end = np.array([END_ID], encoder.dtype).tobytes()
         fs, inner = pafs.FileSystem.from_uri(path)
         part, seq = TaskContext.get().partitionId(), 0
