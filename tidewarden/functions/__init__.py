@@ -1 +1 @@
-"""Functions of the engine."""
+"""Scalar functions: Column in, Column out."""
