@@ -1 +1 @@
-"""Streaming of the engine."""
+"""Incremental runs as streams, and extensions on event streams."""
