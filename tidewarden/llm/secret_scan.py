@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewarden.llm.shared import BROADCAST_BYTES, map_arrow, scratch_path, written
+from tidewarden.llm.shared import BROADCAST_BYTES, map_arrow, scratch_path, sized, written
 
 RULE_VERSION = 1
 BASE_KINDS = ("assign", "access", "hex")
@@ -139,12 +139,16 @@ def scan(
     else:
         texts = paths.join(chosen, same, "left_semi")
     scan_blobs(texts, scanner, version).write.mode("append").parquet(ledger)
-    findings = (
+    # Written, so that the join below has plain exchanges and a blob with a third of all paths
+    # can be split.
+    findings = written(
         ledger_rows(spark, ledger)
         .where((F.col("rule_version") == version) & (F.size("spans") > 0))
         .select("blob", "spans")
-        .dropDuplicates(["blob"])
+        .dropDuplicates(["blob"]),
+        "secret-findings",
     )
+    findings = sized(findings, findings.count(), 400)
     empty = F.expr("cast(array() as " + SPAN_SCHEMA.replace(": ", ":") + ")")
     return addresses.join(findings, "blob", "left").select(
         "doc_id", "blob", F.coalesce("spans", empty).alias("spans")
