@@ -73,7 +73,7 @@ def top_rows(df: DataFrame, column: str, n: int) -> DataFrame:
 
 def crosstab(df: DataFrame, rows: str, columns: str, values: Sequence[str]) -> DataFrame:
     """Counts of rows by the given values of a column, 0 where there are none."""
-    table = df.groupBy(rows).pivot(columns, list(values)).agg(F.count("*"))
+    table = df.groupBy(rows).pivot(columns, list(values)).agg(F.count(F.lit(1)))
     return table.na.fill(0, list(values))
 
 
@@ -90,7 +90,7 @@ def monthly(df: DataFrame, date: str, *keys: str) -> DataFrame:
 
 def monthly_stack(df: DataFrame, date: str, key: str, values: Sequence[str]) -> DataFrame:
     month = F.trunc(F.to_date(date), "month").alias("month")
-    table = df.where(F.col(date).isNotNull()).groupBy(month).pivot(key, list(values)).agg(F.count("*"))
+    table = df.where(F.col(date).isNotNull()).groupBy(month).pivot(key, list(values)).agg(F.count(F.lit(1)))
     return table.na.fill(0, list(values))
 
 
@@ -117,7 +117,8 @@ def reach(located: DataFrame, key: str, levels: tuple[str, str, str]) -> DataFra
 
 def element_counts(df: DataFrame, column: str, n: int = 40) -> DataFrame:
     """(element, n): most frequent trimmed elements of an array column."""
-    found = df.select(F.trim(F.explode(column)).alias("element")).where("element <> ''")
+    found = df.select(F.explode(column).alias("element")).select(F.trim("element").alias("element"))
+    found = found.where("element <> ''")
     return top(counts(found, "element"), "n", n, "element")
 
 

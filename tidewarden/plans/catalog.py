@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-FLAGSHIP = "flagship_event_density"
+FLAGSHIP = "flagship_situation_rollup"
 
 
 def query(name: str, oracle: str | None = None):
@@ -27,19 +27,3 @@ def query(name: str, oracle: str | None = None):
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-@query(
-    "flagship_event_density",
-    """SELECT event_type, CAST(count(*) AS BIGINT) AS n_events,
-              CAST(count(DISTINCT user_id) AS BIGINT) AS n_users
-       FROM events GROUP BY event_type""",
-)
-def flagship_event_density(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import functions as F
-
-    return (
-        table(spark, sf_dir, "events")
-        .groupBy("event_type")
-        .agg(F.count("*").alias("n_events"), F.count_distinct("user_id").alias("n_users"))
-    )
