@@ -107,7 +107,7 @@ def labels_of_terms(text: Column, terms: Sequence[tuple[str, str]]) -> Column:
 
 def split_list(c: Column, sep: str = ",") -> Column:
     """Trimmed parts of a separated list without blank ones; null is an empty list."""
-    parts = F.transform(F.split(F.coalesce(c, F.lit("")), re.escape(sep)), F.trim)
+    parts = F.transform(F.split(F.coalesce(c, F.lit("")), re.escape(sep)), lambda x: F.trim(x))
     return F.filter(parts, lambda x: x != "")
 
 
