@@ -53,6 +53,8 @@ MAX_LEAVES = 16_384
 CHUNK = 1024
 #: Fingerprints that should agree on all of a mask by chance, at most.
 BY_CHANCE = 4096
+#: Points that are routed at a time.
+ROUTED = 1 << 16
 BITS = 64
 LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 
@@ -233,6 +235,7 @@ def links(prints: DataFrame, blocks: int | None = None) -> DataFrame:
     spark = prints.sparkSession
     n = prints.count()
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    prints = prints.repartition(max(1, min(parts, n // LEAF)))  # tables of few files, too
     masks, radius = masks_for(n, blocks)
     share = min(1.0, 2.0 * SAMPLE / max(n, 1))
     rows = prints.sample(share, seed=SEED).limit(SAMPLE).collect()
@@ -241,17 +244,16 @@ def links(prints: DataFrame, blocks: int | None = None) -> DataFrame:
     trees = spark.sparkContext.broadcast([Tree(sample, m, radius, leaf) for m in masks])
     chunk = max(CHUNK, n * len(masks) // (4 * parts))
 
-    def routed(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray]]:
-        points = batch.column("fp").to_numpy().view(np.uint64)
+    def routed(points: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
         for k, tree in enumerate(trees.value):
             for shard, at in tree.shards(points):
                 yield k, shard, points[at]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[int, int], int] = {}
-        for batch in batches:
-            for k, shard, points in routed(batch):
-                held[k, shard] = held.get((k, shard), 0) + len(points)
+        for points in gathered(batches):
+            for k, shard, some in routed(points):
+                held[k, shard] = held.get((k, shard), 0) + len(some)
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array([k for k, _ in held], pa.int32()),
@@ -272,9 +274,9 @@ def links(prints: DataFrame, blocks: int | None = None) -> DataFrame:
     chunks = {(r["tree"], r["shard"]): -(-r["n"] // chunk) for r in full}
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for part in gathered(batches):
             keys, trees_of, prints_of = [], [], []
-            for k, shard, points in routed(batch):
+            for k, shard, points in routed(part):
                 c = chunks.get((k, shard), 1)
                 own = mixed(points) % np.uint64(c)
                 for other in range(c):
@@ -333,6 +335,19 @@ def links(prints: DataFrame, blocks: int | None = None) -> DataFrame:
     )
 
 
+def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    """Fingerprints of batches in arrays of ``ROUTED``: a tree routes many as fast as few."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch.column("fp").to_numpy().view(np.uint64))
+        n += len(held[-1])
+        if n >= ROUTED:
+            yield np.concatenate(held)
+            held, n = [], 0
+    if n:
+        yield np.concatenate(held)
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (splitmix), to spread numbers."""
     x = np.asarray(x, np.uint64)
