@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewarden.llm import decontamination, mixing, quality_rules, simhash, token_output
-from tidewarden.llm.shared import scratch_path, sized, written
+from tidewarden.llm.shared import remove, scratch_path, sized, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -67,9 +67,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         ),
         "pipeline-mix",
     )
+    copies = sized(copies, copies.count(), 40)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return (
-        docs.join(copies, F.col("doc_id") == F.col("own_id"))
+        docs.join(copies, F.col("doc_id").eqNullSafe(F.col("own_id")))
         .repartitionByRange(parts, "shard", "order_key")
         .sortWithinPartitions("shard", "order_key")
         .select(*COLUMNS)
@@ -99,6 +100,12 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows, over the documents of ``sf_dir``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
+        path = scratch_path(spark, f"stage-{name.replace(' ', '-')}")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+        if before:
+            remove(spark, before)
+        before = path
     return docs
