@@ -8,6 +8,7 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -267,13 +268,16 @@ def articles(pages: DataFrame, link: str = "source_link", body: str = "html") ->
         except Exception as problem:  # one bad page becomes a dead letter
             return {"source_link": source_link, "keywords": [], "error": f"{type(problem).__name__}: {problem}"}
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [f.split(" ")[0] for f in ARTICLE_SCHEMA.replace(", ", ",").split(",")]
+    fields = (f.strip().split(" ") for f in ARTICLE_SCHEMA.split(","))
+    kinds = {"string": pa.string(), "array<string>": pa.list_(pa.string())}
+    schema = pa.schema([(name, kinds[kind]) for name, kind in fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [one(a, b) for a, b in zip(batch[link], batch[body], strict=True)]
-            yield pd.DataFrame(rows, columns=names)
+            pairs = zip(batch.column(link).to_pylist(), batch.column(body).to_pylist(), strict=True)
+            yield pa.RecordBatch.from_pylist([one(a, b) for a, b in pairs], schema)
 
-    return pages.select(link, body).mapInPandas(run, ARTICLE_SCHEMA)
+    return pages.select(link, body).mapInArrow(run, ARTICLE_SCHEMA)
 
 
 def plain_text(c: Column) -> Column:
