@@ -6,10 +6,9 @@ import re
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tests.llm import brute
-from tests.llm.conftest import EDGES, LONG, documents
+from tests.llm.conftest import EDGES, documents
 from tidewarden.llm import (
     decontamination,
     html_extraction,

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tidewarden.llm.shared import map_arrow
 
 SEED = 11
-TRAIN_PAGES = 1500
+TRAIN_PAGES = 2000
 EPOCHS = 6
 PATH_DIM = 512
 WORD_DIM = 16
@@ -538,25 +538,25 @@ def sample_page(rng: np.random.Generator) -> str:
             out.append(f"<h1>{MARK}{words(1, 10)}</h1>")
         for _ in range(int(rng.integers(1, 14))):
             kind = rng.random()
-            if kind < 0.62:
+            if kind < 0.58:
                 text = f"{MARK}{inline(words(1, 90))}"
                 out.append(pick([f"<p>{text}</p>", f"<p>{text}</p>", f"<p>{text}", f"<p><b>{text}<br>"]))
-            elif kind < 0.7:
+            elif kind < 0.66:
                 level = pick(["h2", "h3", "h4"])
                 out.append(f"<{level}>{MARK}{words(1, 8)}</{level}>")
-            elif kind < 0.76:
+            elif kind < 0.72:
                 items = "".join(f"<li>{MARK}{words(1, 20)}</li>" for _ in range(int(rng.integers(1, 5))))
                 out.append(pick([f"<ul>{items}</ul>", f"<ol>{items}</ol>"]))
-            elif kind < 0.8:
+            elif kind < 0.76:
                 out.append(f"<blockquote>{prose(1, 1, MARK)}</blockquote>")
-            elif kind < 0.83:
+            elif kind < 0.79:
                 out.append(f"<pre>{MARK}{words(3, 20)}</pre>")
-            elif kind < 0.86:
+            elif kind < 0.82:
                 cells = "".join(f"<td>{MARK}{words(1, 4)}</td>" for _ in range(3))
                 out.append(f"<table><tr>{cells}</tr></table>")
-            elif kind < 0.89:
+            elif kind < 0.85:
                 out.append(f"<figure><figcaption>{MARK}{words(2, 12)}</figcaption></figure>")
-            elif kind < 0.92:
+            elif kind < 0.88:
                 out.append(f"<div>{MARK}{words(5, 60)}</div>")
             else:
                 out.append(part(pick(["ad", "share", "related", "form", "notice", "meta"])))
