@@ -76,3 +76,40 @@ def flyway_events(spark: SparkSession, n: int, seed: int = 42, days: int = 365)
 def nullable(df: DataFrame, key: str, **every: int) -> DataFrame:
     """Rows whose columns are null on each so many-th key."""
     return df.withColumns({c: F.when(F.col(key) % n != 0, F.col(c)) for c, n in every.items()})
+
+
+#: Hotspots of the second generator: name, latitude, longitude, weight; fixed values.
+HOTSPOTS = (
+    ("lake", 47.55, 9.4, 4.0),
+    ("plain", 46.95, 7.3, 3.0),
+    ("river", 47.5, 7.8, 2.0),
+    ("valley", 46.2, 6.2, 1.0),
+)
+
+
+def hotspot_events(spark: SparkSession, n: int = 1000, seed: int = 42) -> DataFrame:
+    """n events around hotspots, which are picked by cumulative weight."""
+    rows = spark.range(n).withColumnRenamed("id", "event_id")
+    rows = rows.withColumn(
+        "hotspot", pick(uniform(seed, "event_id", F.lit("h")), [(name, w) for name, _, _, w in HOTSPOTS])
+    )
+    lat = F.coalesce(*(F.when(F.col("hotspot") == name, F.lit(a)) for name, a, _, _ in HOTSPOTS))
+    lon = F.coalesce(*(F.when(F.col("hotspot") == name, F.lit(b)) for name, _, b, _ in HOTSPOTS))
+    return rows.select(
+        "event_id",
+        "hotspot",
+        (lat + 0.1 * gaussian(seed, "event_id", F.lit("lat"))).alias("lat"),
+        (lon + 0.1 * gaussian(seed, "event_id", F.lit("lon"))).alias("lon"),
+    )
+
+
+def lookups(spark: SparkSession, names: Sequence[str]) -> DataFrame:
+    """(id, name) of a lookup table: each name once, numbered in order."""
+    unique = list(dict.fromkeys(names))
+    return spark.createDataFrame([(i + 1, n) for i, n in enumerate(unique)], "id int, name string")
+
+
+def weighted_by_repetition(u: Column, weighted: Sequence[tuple[str, int]]) -> Column:
+    """A name from a list that repeats each as often as its weight."""
+    every = F.array(*(F.lit(n) for n, w in weighted for _ in range(w)))
+    return F.get(every, F.floor(u * F.size(every)).cast("int"))
