@@ -40,6 +40,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     found = {
         "op1_decontamination": decontamination.ORACLE,
+        "op4_secret_scan": secret_scan.ORACLE,
         "op8_url_filters": url_filters.ORACLE,
         "op9_quality_rules": quality_rules.ORACLE,
     }

@@ -182,3 +182,42 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(joined(base), 256).alias("base_sha256"),
         joined(F.col("spans")).alias("spans"),
     )
+
+
+def _either_case(word: str) -> str:
+    return "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in word)
+
+
+#: Kinds in SQL: pattern, group that a length holds for, least length.
+_SQL_KINDS = {
+    "assign": (
+        "(" + "|".join(map(_either_case, ("password", "passwd", "secret", "token", "api_?key"))) + ")"
+        r"""["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""",
+        2,
+        12,
+    ),
+    "access": ("AKIA[A-Z0-9]+", 0, 18),
+    "hex": ("[0-9a-f]+", 0, 16),
+    **{kind: (pattern.pattern, 0, 1) for kind, (_, pattern) in ADDED.items()},
+}
+
+#: Matches and the gaps between them give places, as sums of lengths.
+ORACLE = (
+    "WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),\nk AS ("
+    + "\nUNION ALL ".join(
+        f"SELECT doc_id, {order} AS o, '{kind}' AS kind, {group} AS grp, {least} AS least, '{pattern}' AS p,"
+        f" regexp_extract_all(t, '{pattern}') AS m, regexp_split_to_array(t, '{pattern}') AS g FROM d"
+        for order, (kind, (pattern, group, least)) in enumerate(_SQL_KINDS.items())
+    )
+    + """),
+s AS (SELECT doc_id, o, kind, grp, least, p, m[i] AS x, list_sum(list_transform(g[1:i], lambda v: length(v)))
+    + coalesce(list_sum(list_transform(m[1:i - 1], lambda v: length(v))), 0) AS a
+  FROM k, unnest(generate_series(1, len(m))) AS q(i)),
+f AS (SELECT doc_id, o, kind, a, kind || ':' || CAST(a AS BIGINT) || ':' || CAST(a + length(x) AS BIGINT) AS span FROM s
+  WHERE length(CASE WHEN grp = 2 THEN regexp_extract(x, p, 2) ELSE x END) >= least),
+r AS (SELECT doc_id, count(*) FILTER (o = 0) AS n_assign, count(*) FILTER (o = 1) AS n_access, count(*) FILTER (o = 2) AS n_hex,
+    string_agg(span, ',' ORDER BY a, o) FILTER (o < 3) AS base, string_agg(span, ',' ORDER BY a, o) AS spans FROM f GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(n_assign, 0) AS BIGINT) AS n_assign, CAST(coalesce(n_access, 0) AS BIGINT) AS n_access,
+  CAST(coalesce(n_hex, 0) AS BIGINT) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN r ON d.doc_id = r.doc_id"""
+)

@@ -29,9 +29,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """This application's folder in the shared one; ``remove`` it when the work is done."""
+    return f"{checkpoint_dir(spark)}/tidewarden/{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that no other call gets."""
-    return f"{checkpoint_dir(spark)}/tidewarden/{name}-{uuid.uuid4().hex}"
+    """A path in the application's folder that no other call gets."""
+    return f"{scratch_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
