@@ -49,10 +49,11 @@ def numbered(df: DataFrame, order: Sequence[str], name: str = "id") -> DataFrame
     """Rows with their number from 1, in a total order.
 
     Numbers come from per-range counts: rows are dealt by ranges of the order and numbered
-    there, so no task sees all of them.
+    there, so no task sees all of them. The ranges are kept (spilling to disk), as they are
+    read twice and, drawn from a sample, would fall elsewhere the second time.
     """
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    ranged = ranged.withColumn("__part", F.spark_partition_id())
+    ranged = ranged.withColumn("__part", F.spark_partition_id()).persist()
     within = ranged.withColumn(
         "__n", F.row_number().over(W.partitionBy("__part").orderBy(*order))
     )
