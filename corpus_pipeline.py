@@ -11,8 +11,11 @@ return the columns of documents.
 5. token output        token shards, read back: a row for each document of the mix
 
 The ids that go are counted; while they are few they are broadcast and texts are filtered
-where they lie, and beyond that they are joined by shuffles. doc_ids name documents: where
-rows repeat one, near-duplicate removal keeps one of those rows.
+where they lie, and beyond that they are joined by shuffles. doc_ids name documents: rows
+that share one, null included, share its fate, and near-duplicate removal keeps one of them.
+
+Defined cases: null and empty texts fail the rules; an empty table gives an empty result of
+every stage; extra columns are dropped by the first stage.
 """
 
 from __future__ import annotations
