@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -56,20 +57,45 @@ def collapse_space(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
 
 
+@cache
+def _cases() -> dict[str, str]:
+    """Each letter of the basic plane with all that differ from it in case only."""
+    groups: dict[str, set[str]] = {}
+    for code in range(0x10000):
+        c = chr(code)
+        if len(c.lower()) == 1 and len(c.upper()) == 1 and (c.lower() != c or c.upper() != c):
+            groups.setdefault(c.upper().lower(), set()).update((c, c.lower(), c.upper()))
+    return {c: "".join(sorted(group)) for group in groups.values() for c in group}
+
+
+def any_case(word: str) -> str:
+    """Pattern of a word in any case: a class for each letter, which Java matches faster than
+    its flag for all scripts."""
+    return "".join(f"[{_cases()[c]}]" if c in _cases() else re.escape(c) for c in word)
+
+
 def term_pattern(term: str, acronyms: Sequence[str] = ()) -> str:
-    """Pattern of a term; an acronym must not touch word characters."""
-    body = FLAGS + r"\Q" + term + r"\E"
-    return FLAGS + r"(?<!\w)\Q" + term + r"\E(?!\w)" if term in acronyms else body
+    """Pattern of a term in any case; an acronym must not touch word characters."""
+    body = any_case(term)
+    return rf"(?U)(?<!\w){body}(?!\w)" if term in acronyms else body
 
 
 def first_match(text: Column, pattern: str) -> Column:
-    """Struct (start, end) of the first match in code points, null without one."""
-    match = F.regexp_substr(text, F.lit(pattern))
-    start = F.length(F.get(F.split(text, pattern, 2), F.lit(0)))
-    return F.when(
-        match.isNotNull(),
-        F.struct(start.alias("start"), (start + F.length(match)).alias("end")),
-    )
+    """Struct (start, end) of the first match in code points, null without one.
+
+    One split in two finds the match: what stands before and after it gives its place.
+    """
+
+    def place(parts: Column) -> Column:
+        return F.when(
+            F.size(parts) == 2,
+            F.struct(
+                F.length(F.get(parts, F.lit(0))).alias("start"),
+                (F.length(text) - F.length(F.get(parts, F.lit(1)))).alias("end"),
+            ),
+        )
+
+    return F.get(F.transform(F.array(F.split(text, pattern, 2)), place), F.lit(0))
 
 
 def window_text(text: Column, start: Column, end: Column) -> Column:
@@ -96,7 +122,7 @@ def labels_of_terms(text: Column, terms: Sequence[tuple[str, str]]) -> Column:
     found = F.filter(
         F.array(
             *(
-                F.when(text.rlike(FLAGS + r"\Q" + term + r"\E"), F.lit(label))
+                F.when(text.rlike(any_case(term)), F.lit(label))
                 for term, label in terms
             )
         ),
@@ -119,7 +145,7 @@ def word_count(c: Column) -> Column:
 
 def first_sentence_with(text: Column, terms: Sequence[str]) -> Column:
     """First sentence that has any of the terms."""
-    pattern = FLAGS + "|".join(r"\Q" + t + r"\E" for t in terms)
+    pattern = "|".join(any_case(t) for t in terms)
     sentences = F.split(F.trim(text), r"(?<=[.!?])\s+")
     return F.get(F.filter(sentences, lambda s: s.rlike(pattern)), F.lit(0))
 

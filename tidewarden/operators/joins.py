@@ -63,8 +63,8 @@ def link_reports(
     country = countries.select(F.lower("alias").alias("c_alias"), F.col("name").alias("c_name"))
     disease = diseases.select(F.lower("alias").alias("d_alias"), F.col("name").alias("d_name"))
     keyed = (
-        reports.join(F.broadcast(country), F.lower("country") == F.col("c_alias"), "left")
-        .join(F.broadcast(disease), F.lower("disease") == F.col("d_alias"), "left")
+        reports.join(country, F.lower("country") == F.col("c_alias"), "left")
+        .join(disease, F.lower("disease") == F.col("d_alias"), "left")
         .withColumn(
             "situation_key",
             keys.report_situation_key(

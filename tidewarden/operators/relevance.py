@@ -73,16 +73,22 @@ def haystack(*parts: Column) -> Column:
 
 def term_hits(body: Column, rules: Rules) -> Column:
     """Array of (term, start, end): first place of every term that occurs, in order."""
-    hits = []
-    for term in rules.terms:
-        place = text.first_match(body, text.term_pattern(term, rules.acronyms))
-        hits.append(
-            F.when(
-                place.isNotNull(),
-                F.struct(F.lit(term).alias("term"), place["start"].alias("start"), place["end"].alias("end")),
+    places = F.array(
+        *(
+            F.struct(
+                F.lit(term).alias("term"),
+                text.first_match(body, text.term_pattern(term, rules.acronyms)).alias("place"),
             )
+            for term in rules.terms
         )
-    return F.filter(F.array(*hits), lambda h: h.isNotNull())
+    )
+    found = F.filter(places, lambda h: h["place"].isNotNull())
+    return F.transform(
+        found,
+        lambda h: F.struct(
+            h["term"].alias("term"), h["place"]["start"].alias("start"), h["place"]["end"].alias("end")
+        ),
+    )
 
 
 def snippets(link: Column, body: Column, hits: Column, rules: Rules) -> Column:
