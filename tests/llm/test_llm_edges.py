@@ -128,6 +128,19 @@ def test_elias_fano(high):
     assert bits <= 3 + np.log2(max(2, high / n)) + 1
 
 
+def test_new_characters_and_random_text():
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encoder, rng = token_output.Encoder(path), random.Random(4)
+    alphabet = "ab1 '\n\t.é\u00a0\u3000\u088f\U00010940\U0001df90\u200b\x1c🙂ßk"
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 40))) for _ in range(400)]
+    texts += ["x1 " * 1_500_000 + "\u088f", "yé " * 1_500_000]
+    for text in texts:
+        ids = encoder.tokenizer.encode(text, add_special_tokens=False).ids
+        assert encoder.encode(text) == np.array(ids, encoder.dtype).tobytes()
+
+
 def test_other_tokenizers_encode_whole_texts(spark):
     import public_tokenizers
 

@@ -19,7 +19,8 @@ shard behind. A partition beyond ``SHARD_IDS`` rolls over to another shard.
 
 Encoding: byte-level BPE never merges across pre-tokens, so ids of a text are the ids of
 its pre-tokens in a row. Each worker keeps the ids of pre-tokens it has seen, and the
-tokenizers library encodes new ones; other kinds of tokenizer encode whole texts.
+tokenizers library encodes new ones; other kinds of tokenizer encode whole texts, and so
+are texts with characters too new for all parties to agree on their class.
 
 Defined cases: null text is empty and has the end id alone; a null doc_id comes first;
 repeated doc_ids stay, in order of their texts; an empty table writes no shard; extra
@@ -30,6 +31,7 @@ from __future__ import annotations
 
 import json
 import struct
+import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -167,6 +169,12 @@ class Shard:
         return self.read(self.ends.select(i - 1) if i else 0, self.ends.select(i))
 
 
+def unsettled(word: str) -> bool:
+    """Whether a word has a character that this Python's Unicode tables lack: there the pattern
+    and the tokenizers library, with tables of other versions, may part words differently."""
+    return not word.isascii() and any(unicodedata.category(c) == "Cn" for c in word)
+
+
 class Encoder:
     """Texts to little-endian ids, by a tokenizer file of the tokenizers library."""
 
@@ -194,16 +202,26 @@ class Encoder:
         return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
     def encode(self, text: str) -> bytes:
-        if not self.by_words:
-            return np.array(self._ids(text), self.dtype).tobytes()
+        found = self._by_words(text) if self.by_words else None
+        return np.array(self._ids(text), self.dtype).tobytes() if found is None else found
+
+    def _by_words(self, text: str) -> bytes | None:
+        """Ids by pre-tokens; None for a text that has to be encoded whole."""
         if len(text) < 1 << 22:
             return self._joined(self.pattern.findall(text))
         found = (m[0] for m in self.pattern.finditer(text))
-        return b"".join(iter(lambda: self._joined(list(islice(found, 1 << 20))), b""))
-
-    def _joined(self, words: list[str]) -> bytes:
+        parts = []
+        while words := list(islice(found, 1 << 20)):
+            parts.append(self._joined(words))
+            if parts[-1] is None:
+                return None
+        return b"".join(parts)
+
+    def _joined(self, words: list[str]) -> bytes | None:
         new = set(words).difference(self.words)  # walks the set, not the words known
         if new:
+            if any(map(unsettled, new)):
+                return None
             if len(self.words) + len(new) > CACHE_WORDS:
                 self.words.clear()
                 new = set(words)
