@@ -147,7 +147,7 @@ def totals_by_kind(spark, sf_dir):
     "graph_star_detail",
     f"""WITH {TRIPLES_SQL}, s AS (SELECT DISTINCT situation, situation_key FROM k WHERE situation IS NOT NULL)
     SELECT s.situation_key AS key, k.event_id AS ref, CAST(o.n AS BIGINT) AS n_shown FROM s JOIN k ON k.situation = s.situation
-    JOIN (SELECT situation, count(*) AS n FROM k WHERE place IS NOT NULL GROUP BY 1) o ON o.situation = s.situation WHERE k.country = 'NATION_3'""",
+    JOIN (SELECT situation, count(*) AS n FROM k WHERE place IS NOT NULL GROUP BY 1) o ON o.situation = s.situation""",
 )
 def graph_star_detail(spark, sf_dir):
     """A situation's events beside each of its located ones, counted."""
@@ -156,10 +156,9 @@ def graph_star_detail(spark, sf_dir):
         t,
         [("?event", "ts:belongsToSituation", "?situation"), ("?situation", "ts:hasSituationKey", "?key"), ("?event", "ts:referenceId", "?ref")],
     )
-    here = star.where(F.split("key", r"\|")[1] == "nation-3")
     shown = match.solve(t, [("?other", "ts:belongsToSituation", "?situation"), ("?other", "ts:occursAt", "?loc")])
     counted = shown.groupBy("situation").agg(F.count("*").alias("n_shown"))
-    return here.join(counted, "situation").select("key", F.col("ref").cast("bigint").alias("ref"), "n_shown")
+    return star.join(counted, "situation").select("key", F.col("ref").cast("bigint").alias("ref"), "n_shown")
 
 
 @query(
