@@ -135,6 +135,9 @@ def test_new_characters_and_random_text():
     encoder, rng = token_output.Encoder(path), random.Random(4)
     alphabet = "ab1 '\n\t.é\u00a0\u3000\u088f\U00010940\U0001df90\u200b\x1c🙂ßk"
     texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 40))) for _ in range(400)]
+    latin = "ab Z9'\n\t\r\x0b\x1cé×÷ñɏÀ¡¿–“…_-.s"
+    texts += ["".join(rng.choice(latin) for _ in range(rng.randint(0, 40))) for _ in range(400)]
+    texts += [f"a{chr(c)}1 {chr(c)}{chr(c)}!'s" for c in (*range(1, 0x250), *range(0x2000, 0x2030))]
     texts += ["x1 " * 1_500_000 + "\u088f", "yé " * 1_500_000]
     for text in texts:
         ids = encoder.tokenizer.encode(text, add_special_tokens=False).ids
