@@ -2,6 +2,7 @@
 
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -144,6 +145,21 @@ def test_new_characters_and_random_text():
         assert encoder.encode(text) == np.array(ids, encoder.dtype).tobytes()
 
 
+def test_added_tokens_are_one_id():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encoder, plain = token_output.Encoder(path), Tokenizer.from_file(path)
+    assert plain.encode("a <|endoftext|> b", add_special_tokens=False).ids == [64, 220, 50256, 275]
+    mark = "<|endoftext|>"
+    for text in (f"a {mark} b", mark, mark * 3, f"x{mark}y\n{mark}\u088f", "<|endoftext", f"é{mark}'s", "a b"):
+        ids = plain.encode(text, add_special_tokens=False).ids
+        assert encoder.encode(text) == np.array(ids, encoder.dtype).tobytes()
+        want = [(1, 0, len(ids) + 1, zlib.crc32(np.array([*ids, token_output.END_ID], "<u4").tobytes()))]
+        assert token_output.brute_force([(1, text)], path) == want
+
+
 def test_other_tokenizers_encode_whole_texts(spark):
     import public_tokenizers
 

@@ -20,7 +20,8 @@ shard behind. A partition beyond ``SHARD_IDS`` rolls over to another shard.
 Encoding: byte-level BPE never merges across pre-tokens, so ids of a text are the ids of
 its pre-tokens in a row. Each worker keeps the ids of pre-tokens it has seen, and the
 tokenizers library encodes new ones; other kinds of tokenizer encode whole texts, and so
-are texts with characters too new for all parties to agree on their class.
+are texts with an added token's string (such as ``<|endoftext|>``, one id) or with
+characters too new for all parties to agree on their class.
 
 Defined cases: null text is empty and has the end id alone; a null doc_id comes first;
 repeated doc_ids stay, in order of their texts; an empty table writes no shard; extra
@@ -191,7 +192,6 @@ class Encoder:
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings are ordinary text
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.dtype = f"<u{self.width}"
         spec = json.loads(self.tokenizer.to_str())
@@ -204,6 +204,9 @@ class Encoder:
             and not before.get("add_prefix_space")
             and before.get("use_regex", True)
         )
+        #: Strings that the library finds before it parts words; the pattern knows none of them.
+        self.added = [t["content"] for t in spec.get("added_tokens") or []]
+        self.by_words = self.by_words and not any("\n" in t for t in self.added)
         self.words: dict[str, bytes] = {}
         self.recent: deque[set[str]] = deque(maxlen=RECENT)
         self.pattern = regex.compile(BYTE_LEVEL)
@@ -219,6 +222,8 @@ class Encoder:
 
     def _by_words(self, text: str) -> bytes | None:
         """Ids by pre-tokens; None for a text that has to be encoded whole."""
+        if any(t in text for t in self.added):
+            return None
         pattern = LATIN_WORDS if LATIN.fullmatch(text) else self.pattern
         if len(text) < 1 << 22:
             return self._joined(pattern.findall(text))
@@ -384,7 +389,6 @@ def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 def brute_force(rows: list[tuple[int | None, str | None]], tokenizer: str) -> list[tuple]:
     """(doc_id, start, n_tokens, ids_crc32) with whole texts encoded one by one."""
     own = Tokenizer.from_file(tokenizer)
-    own.encode_special_tokens = True
     out, start = [], 0
     for doc_id, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
         ids = [*own.encode(text or "", add_special_tokens=False).ids, END_ID]
