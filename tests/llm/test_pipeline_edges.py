@@ -55,3 +55,36 @@ def test_tokens(spark):
     got = corpus_pipeline.tokens(spark, documents(spark, ROWS), SMALL).collect()
     assert len(got) == len(ROWS) and sorted(r.start for r in got)[0] == 0
     assert sum(r.n_tokens for r in got) == max(r.start + r.n_tokens for r in got)
+
+
+def unlike(n, i=0):
+    return " ".join(f"t{i}x{k}" for k in range(n))
+
+
+def held(rows):
+    return sorted((r.doc_id is not None, r.doc_id or 0, r.text) for r in rows)
+
+
+def test_rows_that_share_an_id_have_fates_of_their_own(spark):
+    clean = [(None, unlike(30, 1), "a"), (None, unlike(30, 2), "a"), (7, unlike(30, 3), "b")]
+    want = sorted((i is not None, i or 0, t) for i, t, _ in clean)
+    bad = [(None, "x", "a"), (7, "y", "b")]
+    docs = documents(spark, [*clean, *bad])
+    assert held(corpus_pipeline.keep_by_rules(spark, docs, SMALL).collect()) == want
+    item = spark.read.parquet(f"{SMALL}/benchmark.parquet").first().text
+    docs = documents(spark, [*clean, *((i, f"before {item} after", s) for i, _, s in bad)])
+    assert held(corpus_pipeline.decontaminate(spark, docs, SMALL).collect()) == want
+    near = [(3, unlike(30, 9), "a"), (7, unlike(30, 9), "b"), (None, unlike(30, 9), "a"), clean[0]]
+    docs = documents(spark, [*clean, *near])
+    want = sorted([*want, (True, 3, unlike(30, 9))])
+    assert held(corpus_pipeline.drop_near_duplicates(spark, docs, SMALL).collect()) == want
+
+
+def test_mixing_takes_rows_that_share_an_id_as_often_as_each_is_due(spark):
+    alike = [(5, unlike(40, 0), "a")] * 6
+    rows = [*alike, *((None, unlike(40, i), "a") for i in range(1, 7)), *((5, unlike(40, i), "b") for i in range(7, 19))]
+    got = corpus_pipeline.mix_sources(spark, documents(spark, rows), SMALL).collect()
+    # Sources weigh 3 and 1, share 150 % of all words and stop at twice their size.
+    assert sum(r.source == "a" for r in got) == 24 and sum(r.source == "b" for r in got) == 12
+    texts = [r.text for r in got]
+    assert texts.count(alike[0][1]) == 12 and all(texts.count(t) <= 2 for _, t, _ in rows[6:])
