@@ -111,19 +111,50 @@ def test_tokens_edges(spark, edges, nothing, tmp_path):
     assert sorted(rows(token_output.read_shards(manifest)), key=key) == sorted(token_output.brute_force(texts, path), key=key)
     for r in manifest.collect():
         shard = token_output.Shard(r.file)
-        ends = shard.ends.all().tolist()
+        ends = shard.ends.run(0, shard.n_docs).tolist()
         assert ends == [shard.ends.select(i) for i in range(shard.n_docs)] and ends[-1] == r.n_ids
         assert all(shard.document(i)[-1] == token_output.END_ID for i in range(shard.n_docs))
     assert rows(token_output.read_shards(token_output.write_shards(nothing, path, scratch_path(spark, "t")))) == []
 
 
+def test_tokens_keep_the_order_of_files(spark, tmp_path):
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = [(i * 7919 % 101 - 9 if i % 10 else None, f"text {i}") for i in range(100)]
+    docs = documents(spark, [(i, t, "a") for i, t in texts])
+    docs.coalesce(1).write.option("maxRecordsPerFile", 13).parquet(f"file://{tmp_path}/docs")
+    docs = spark.read.parquet(f"file://{tmp_path}/docs")
+    want = token_output.brute_force(texts, path, keep_order=True)
+    for some in (docs, docs.coalesce(1), documents(spark, [(i, t, "a") for i, t in texts])):
+        manifest = token_output.write_shards(some, path, scratch_path(spark, "t"), keep_order=True)
+        assert sorted(rows(token_output.read_shards(manifest)), key=lambda r: r[1]) == want
+
+
+def test_tokens_of_one_id_spread(spark):
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = [(None if i % 2 else 5, "same" if i % 3 else f"text {i}") for i in range(2000)]
+    docs = documents(spark, [(i, t, "a") for i, t in texts])
+    manifest = token_output.write_shards(docs, path, scratch_path(spark, "t"))
+    got = sorted(rows(token_output.read_shards(manifest)), key=lambda r: r[1])
+    assert got == token_output.brute_force(texts, path)
+    assert max(r.n_docs for r in manifest.collect()) < 1000
+
+
 @pytest.mark.parametrize("high", [1, 5, 10**4, 10**12])
 def test_elias_fano(high):
     rng = np.random.default_rng(high % 97)
     for n in (0, 1, 2, 255, 256, 257, 3000):
         values = np.sort(rng.integers(0, high, n))
         seq = token_output.EliasFano.of(values)
-        assert (seq.all() == values).all()
+        assert (seq.run(0, n) == values).all()
+        for first in range(0, n, 97):
+            assert (seq.run(first, min(n, first + 300)) == values[first : first + 300]).all()
+        mixed = token_output.Packed.of(rng.permutation(values).astype(np.uint64))
+        assert sorted(mixed.run(0, n)) == values.tolist()
+        assert [mixed.select(i) for i in range(0, n, 7)] == mixed.run(0, n)[::7].tolist()
         assert [seq.select(i) for i in range(0, n, 7)] == values[::7].tolist()
     bits = 8 * sum(len(s) for s in seq.sections()) / n
     assert bits <= 3 + np.log2(max(2, high / n)) + 1
