@@ -8,7 +8,7 @@ return the columns of documents.
 2. near duplicates     the least doc_id of each SimHash component stays
 3. decontamination     documents with a window of a benchmark item go
 4. mixing              documents come as often as the mix takes them, in its shards' order
-5. token output        token shards, read back: a row for each document of the mix
+5. token output        token shards in the order of the mix, read back: a row for each document
 
 Stages decide row by row: operators get the key of a row (doc_id and a 64-bit hash of the
 whole row) as its doc_id, so rows that share a doc_id, null included, each have a fate of
@@ -122,7 +122,8 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = scratch_path(spark, "pipeline-shards")
-    manifest = token_output.write_shards(docs, public_tokenizers.path("byte_bpe_50k.json"), path)
+    tokenizer = public_tokenizers.path("byte_bpe_50k.json")
+    manifest = token_output.write_shards(docs, tokenizer, path, keep_order=True)
     return token_output.read_shards(manifest)
 
 
