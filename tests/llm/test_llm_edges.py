@@ -442,9 +442,9 @@ def test_bad_hosts_go_and_null_hosts_are_one(spark):
 # 10
 
 
-@pytest.mark.parametrize("blocks", [None, 1, 2, 3, 5, 6])
-def test_simhash_edges(spark, edges, blocks):
-    found = simhash.near_duplicates(edges.where("doc_id is not null"), blocks).collect()
+@pytest.mark.parametrize("radius", [0, 1, 4])
+def test_simhash_edges(spark, edges, radius):
+    found = simhash.near_duplicates(edges.where("doc_id is not null"), radius).collect()
     want = simhash.brute_force([(i, t) for i, t, _ in EDGES if i is not None])
     assert {r.doc_id: (f"{r.fp & (2**64 - 1):016x}", r.component_id) for r in found} == want
     assert len(found) == len(EDGES) - 1
@@ -467,13 +467,14 @@ def near_points(n, seed):
     return np.unique(np.concatenate(out))
 
 
-@pytest.mark.parametrize("blocks", [None, 2, 6])
-def test_links_of_dense_balls_in_chunks(spark, monkeypatch, blocks):
+@pytest.mark.parametrize("radius", [0, 1])
+def test_links_of_dense_balls_in_chunks(spark, monkeypatch, radius):
     monkeypatch.setattr(simhash, "CHUNK", 40)
+    monkeypatch.setattr(simhash, "SHARD", 60)
     monkeypatch.setattr(simhash, "LEAF", 16)
     points = near_points(1500, 4)
     prints = spark.createDataFrame([(int(p),) for p in points.view(np.int64)], "fp bigint")
-    labels = {r.node: r.root for r in simhash.components(simhash.links(prints, blocks)).collect()}
+    labels = {r.node: r.root for r in simhash.components(simhash.links(prints, radius)).collect()}
     sets = simhash.Union()
     for i, p in enumerate(points):
         for q in points[:i][np.bitwise_count(points[:i] ^ p) <= simhash.RADIUS]:
@@ -492,11 +493,33 @@ def test_components_of_long_chains(spark):
     assert len({got[i] for i in range(301)}) == 1 and got[1000] == got[1001] != got[0]
 
 
-def test_masks_agree_for_any_four_bits():
+def test_masks_hold_any_four_bits_within_their_radius():
     rng = np.random.default_rng(1)
-    for n in (10, 10**8, 10**10):
-        masks, radius = simhash.masks_for(n)
-        assert radius == 0
-        for _ in range(300):
-            diff = sum(1 << int(b) for b in rng.choice(64, 4, replace=False))
-            assert any(diff & m == 0 for m in masks)
+    for n in (10, 10**8, 10**10, 10**12):
+        for radius in range(simhash.RADIUS + 1):
+            masks = simhash.masks_for(n, radius)
+            for _ in range(300):
+                diff = sum(1 << int(b) for b in rng.choice(64, 4, replace=False))
+                assert min((diff & m).bit_count() for m in masks) <= radius
+
+
+def test_shards_overlap_so_that_every_near_pair_shares_one():
+    """Boundaries are met on one side only, and yet no pair within the radius is parted."""
+    rng = np.random.default_rng(2)
+    points = np.unique(rng.integers(0, 2**16, 3000).astype(np.uint64))
+    for radius in (0, 1, 2):
+        tree = simhash.Tree(points[::3], 0xFFFF, radius, 20)
+        assert tree.leaves > 20
+        held = {}
+        for shard, at in tree.shards(points):
+            for i in at.tolist():
+                held.setdefault(i, set()).add(shard)
+        near = np.bitwise_count(points[:, None] ^ points[None, :]) <= radius
+        assert all(held[i] & held[j] for i, j in np.argwhere(near).tolist())
+        assert radius == 0 or sum(map(len, held.values())) > len(points)  # it does overlap
+
+
+def test_one_hub_joins_apart(spark):
+    edges = [(1, i) for i in range(2, 3000)] + [(i, 10_000 + i) for i in range(2, 3000, 3)]
+    got = simhash.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()
+    assert {r.root for r in got} == {1} and len(got) == len({x for e in edges for x in e})

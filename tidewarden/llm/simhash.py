@@ -9,18 +9,24 @@ bound |d(x, v) - d(y, v)| <= d(x, y) tells which side a search may skip. Over al
 that bound hardly prunes: distances of unlike texts gather around 32, and a search of
 radius 4 visits 87 % of the points at each level. So each tree here measures a masked
 distance, the differing bits under its mask, for which the triangle bound holds as well.
-The bits are cut into RADIUS + c blocks and there is a mask for each c of them: a linked
-pair differs in RADIUS bits at most, so it agrees on all bits of some mask, and in that
-mask's tree a search has radius 0. Trees with a radius above 0 (fewer masks, ``blocks``
-below RADIUS + 1) are searched too: points within the radius of a boundary then go to the
-shards on both sides. c grows with the number of fingerprints; every choice is exact.
-
-Trees are built from a bounded sample and only route: their leaves are shards. In a shard
-the tree is carried on over its own points, and the rest are compared in numpy. A shard
+The bits are cut into RADIUS - r + c blocks and there is a mask for each c of them: a linked
+pair differs in RADIUS bits at most, so under some mask it differs in r bits at most, and
+that mask's tree is searched within r. c grows with the number of fingerprints; every
+choice is exact.
+
+Shards are the trees' leaves and overlap at boundaries: a point belongs to the shard on its
+side of each boundary, and if it lies on the inner side within the radius of a boundary, it
+queries the outer shard as well. A pair with its points on both sides meets there, so points
+of the outer side need not be copied. Vantage points and boundaries are chosen for the least
+number of pairs that are left to compare.
+
+Trees are built from a bounded sample and only route. In a shard the tree is carried on over
+its own points, and the rest are compared in numpy. A shard
 that holds too much (near copies agree on most masks) is split into chunks, and a task
 gets each two of them. Linked points within a task are reported as stars, never as all
 their pairs; components are found by contracting stars to their least member, round by
-round, in tables of the shared folder.
+round, in tables of the shared folder. Hubs of stars and roots of large components are
+bounded in number, so what is joined on them is broadcast apart from the rest.
 
 Defined cases: null or empty text, or one without words, has fingerprint 0, which links
 like any other; fewer than four words are one shingle; repeated doc_ids share a component
@@ -42,13 +48,17 @@ from pyspark.sql import functions as F
 from tidewarden.llm.shared import map_arrow, sized, written
 
 RADIUS = 4
+#: Radius of a search under a mask.
+MASKED_RADIUS = 1
 SHINGLE = 4
 SEED = 42
 #: Distinct fingerprints that the trees are built from, at most.
 SAMPLE = 32_768
-#: Points that a shard should hold, and shards of one tree at most.
+#: Points that a shard should hold, and points that are compared with one another.
+SHARD = 8192
 LEAF = 512
-MAX_LEAVES = 16_384
+#: A leaf of a tree holds one of so many parts of the sample, or more.
+MAX_CUTS = 2048
 #: Points that one task's group holds of either chunk at least.
 CHUNK = 1024
 #: Fingerprints that should agree on all of a mask by chance, at most.
@@ -96,16 +106,15 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 # Trees.
 
 
-def masks_for(n: int, blocks: int | None = None) -> tuple[list[int], int]:
-    """Masks, and the radius within which a linked pair is under one of them at least."""
-    if blocks and blocks <= RADIUS:
-        return [_bits(i, i + 1, blocks) for i in range(blocks)], RADIUS // blocks
-    agree = (blocks - RADIUS) if blocks else 1
-    while not blocks and agree < 4 and n >> (BITS * agree // (RADIUS + agree)) > BY_CHANCE:
+def masks_for(n: int, radius: int = MASKED_RADIUS) -> list[int]:
+    """Masks such that a linked pair is within ``radius`` under one of them at least."""
+    spare = RADIUS - radius
+    agree = 1
+    while agree < 4 and n >> (BITS * agree // (spare + agree)) > BY_CHANCE:
         agree += 1
-    count = RADIUS + agree
+    count = spare + agree
     cuts = [_bits(i, i + 1, count) for i in range(count)]
-    return [sum(c) for c in combinations(cuts, agree)], 0
+    return [sum(c) for c in combinations(cuts, agree)]
 
 
 def _bits(first: int, last: int, blocks: int) -> int:
@@ -120,11 +129,11 @@ class Tree:
         self.mask, self.radius = np.uint64(mask), radius
         self.nodes: list[list[int]] = []
         self.leaves = 0
-        self.leaf = max(leaf, len(sample) / MAX_LEAVES, 1.0)
+        self.leaf = max(leaf, len(sample) / MAX_CUTS, 1.0)
         self.root = self._build(sample)
 
     def _build(self, points: np.ndarray) -> int:
-        found = split(points, self.mask) if len(points) > self.leaf else None
+        found = split(points, self.mask, self.radius) if len(points) > self.leaf else None
         if found is None:
             self.leaves += 1
             return ~(self.leaves - 1)
@@ -132,7 +141,7 @@ class Tree:
         node = len(self.nodes)
         self.nodes.append([point, boundary, 0, 0])
         self.nodes[node][2] = self._build(points[distances <= boundary])
-        self.nodes[node][3] = self._build(points[distances > boundary])
+        self.nodes[node][3] = self._build(points[distances > boundary - self.radius])
         return node
 
     def shards(self, points: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -147,18 +156,24 @@ class Tree:
                 continue
             point, boundary, inner, outer = self.nodes[node]
             d = np.bitwise_count((points[rows] ^ np.uint64(point)) & self.mask).astype(np.int64)
-            stack.append((inner, rows[d - self.radius <= boundary]))
-            stack.append((outer, rows[d + self.radius > boundary]))
+            stack.append((inner, rows[d <= boundary]))
+            stack.append((outer, rows[d > boundary - self.radius]))
 
 
-def split(points: np.ndarray, mask: np.uint64) -> tuple[int, np.ndarray, int] | None:
-    """Vantage point, distances to it, and a boundary with points on both sides, if any."""
-    for at in (0, len(points) // 2, len(points) - 1):
+def split(points: np.ndarray, mask: np.uint64, radius: int) -> tuple[int, np.ndarray, int] | None:
+    """Vantage point, distances to it, and a boundary, such that fewest pairs are left on
+    both sides, if there are fewer at all."""
+    best, found = 0.95 * len(points) ** 2, None
+    for at in (0, len(points) // 3, 2 * len(points) // 3, len(points) - 1):
         d = np.bitwise_count((points ^ points[at]) & mask).astype(np.int64)
-        low, high = int(d.min()), int(d.max())
-        if low < high:
-            return int(points[at]), d, min(int(np.median(d)), high - 1)
-    return None
+        inner = np.cumsum(np.bincount(d, minlength=BITS + 1)).astype(float)
+        outer = len(points) - np.concatenate([np.zeros(radius + 1), inner])[1 : len(inner) + 1]
+        pairs = inner**2 + outer**2
+        pairs[inner == 0] = np.inf
+        boundary = int(pairs.argmin())
+        if pairs[boundary] < best:
+            best, found = pairs[boundary], (int(points[at]), d, boundary)
+    return found
 
 
 def groups(points: np.ndarray, mask: int, radius: int) -> Iterator[np.ndarray]:
@@ -166,14 +181,12 @@ def groups(points: np.ndarray, mask: int, radius: int) -> Iterator[np.ndarray]:
     stack = [points]
     while stack:
         some = stack.pop()
-        found = split(some, np.uint64(mask)) if len(some) > LEAF else None
-        if found is not None:
+        found = split(some, np.uint64(mask), radius) if len(some) > LEAF else None
+        if found is None:
+            yield some
+        else:
             _, d, boundary = found
-            inner, outer = some[d <= boundary + radius], some[d > boundary - radius]
-            if max(len(inner), len(outer)) < len(some):
-                stack += [inner, outer]
-                continue
-        yield some
+            stack += [some[d <= boundary], some[d > boundary - radius]]
 
 
 def near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -229,18 +242,18 @@ class Union:
 # The distributed search.
 
 
-def links(prints: DataFrame, blocks: int | None = None) -> DataFrame:
+def links(prints: DataFrame, radius: int = MASKED_RADIUS) -> DataFrame:
     """(a, b): links between the distinct fingerprints ``prints`` (fp) that connect all
     that is linked; a is the least of those that one task linked."""
     spark = prints.sparkSession
     n = prints.count()
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     prints = prints.repartition(max(1, min(parts, n // LEAF)))  # tables of few files, too
-    masks, radius = masks_for(n, blocks)
+    masks = masks_for(n, radius)
     share = min(1.0, 2.0 * SAMPLE / max(n, 1))
     rows = prints.sample(share, seed=SEED).limit(SAMPLE).collect()
     sample = np.array([r["fp"] for r in rows], np.int64).view(np.uint64)
-    leaf = LEAF * max(len(sample), 1) / max(n, 1)
+    leaf = SHARD * max(len(sample), 1) / max(n, 1)
     trees = spark.sparkContext.broadcast([Tree(sample, m, radius, leaf) for m in masks])
     chunk = max(CHUNK, n * len(masks) // (4 * parts))
 
@@ -263,7 +276,7 @@ def links(prints: DataFrame, blocks: int | None = None) -> DataFrame:
             ["tree", "shard", "n"],
         )
 
-    # Shards above a chunk: at most 4 for each partition and copy of a point.
+    # Shards above a chunk: a few for each partition.
     full = (
         prints.mapInArrow(count, "tree int, shard int, n bigint")
         .groupBy("tree", "shard")
@@ -364,29 +377,36 @@ def components(edges: DataFrame) -> DataFrame:
     """
     edges = written(edges.where("a <> b").distinct(), "simhash-links")
     labels = None
-    while edges.count():
+    while n := edges.count():
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         parents = written(
             both.groupBy("a")
-            .agg(F.min("b").alias("low"))
-            .select(F.col("a").alias("node"), F.least("a", "low").alias("root")),
+            .agg(F.min("b").alias("low"), F.count("*").alias("n"))
+            .select(F.col("a").alias("node"), F.least("a", "low").alias("root"), "n"),
             "simhash-parents",
         )
         if labels is None:
-            labels = parents
+            labels = parents.select("node", "root")
         else:
-            above = parents.select(F.col("node").alias("root"), F.col("root").alias("above"))
+            above = parents.select(F.col("node").alias("root"), F.col("root").alias("above"), "n")
+            members = labels.groupBy("root").agg(F.count("*").alias("members"))
+            above = written(
+                members.join(above, "root", "left").select(
+                    "root", F.coalesce("above", "root").alias("above"), F.col("members").alias("n")
+                ),
+                "simhash-above",
+            )
             labels = written(
-                labels.join(above, "root", "left").select(
-                    "node", F.coalesce("above", "root").alias("root")
+                join_on_hubs(labels, above, "root", labels.count()).select(
+                    "node", F.col("above").alias("root")
                 ),
                 "simhash-labels",
             )
-        of_a = parents.select(F.col("node").alias("a"), F.col("root").alias("ra"))
-        of_b = parents.select(F.col("node").alias("b"), F.col("root").alias("rb"))
+        of_a = parents.select(F.col("node").alias("a"), F.col("root").alias("ra"), "n")
+        of_b = parents.select(F.col("node").alias("b"), F.col("root").alias("rb"), "n")
+        half = written(join_on_hubs(edges, of_a, "a", 2 * n), "simhash-half")
         edges = written(
-            edges.join(of_a, "a")
-            .join(of_b, "b")
+            join_on_hubs(half, of_b, "b", 2 * n)
             .where("ra <> rb")
             .select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"))
             .distinct(),
@@ -397,21 +417,44 @@ def components(edges: DataFrame) -> DataFrame:
     )
 
 
-def near_duplicates(docs: DataFrame, blocks: int | None = None) -> DataFrame:
+def join_on_hubs(rows: DataFrame, side: DataFrame, key: str, total: int) -> DataFrame:
+    """``rows`` with the columns of ``side``, a table with one row for each key; its ``n`` is
+    how many rows a key meets at most, and ``total`` the sum of these.
+
+    Keys with more than a part of 1 in 4 partitions are fewer than that many, so they are
+    broadcast; what is left is spread evenly by a shuffle.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    hub = F.col("n") > max(1000, total // (4 * parts))
+    hubs = side.where(hub).drop("n")
+    if not hubs.take(1):
+        return rows.join(side.drop("n"), key)
+    hubs = F.broadcast(hubs)
+    rest = rows.join(hubs.select(key), key, "left_anti").join(side.where(~hub).drop("n"), key)
+    return rows.join(hubs, key).unionByName(rest)
+
+
+def near_duplicates(docs: DataFrame, radius: int = MASKED_RADIUS) -> DataFrame:
     """(doc_id, fp, component_id) of every row of ``docs`` (doc_id, text)."""
     found = written(fingerprints(docs), "simhash-docs")
     prints = written(
-        found.groupBy("fp").agg(F.min("doc_id").alias("first_doc")), "simhash-prints"
+        found.groupBy("fp").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("n")),
+        "simhash-prints",
     )
-    labels = components(links(prints.select("fp"), blocks))
+    labels = components(links(prints.select("fp"), radius))
     labels = sized(labels, labels.count(), 16)
-    rooted = prints.join(labels, F.col("fp") == F.col("node"), "left").select(
-        "fp", "first_doc", F.coalesce("root", "fp").alias("root")
+    rooted = written(
+        prints.join(labels, F.col("fp") == F.col("node"), "left")
+        .select("fp", "first_doc", "n", F.coalesce("root", "fp").alias("root")),
+        "simhash-rooted",
+    )
+    least = written(
+        rooted.groupBy("root").agg(F.min("first_doc").alias("component_id"), F.count("*").alias("n")),
+        "simhash-least",
     )
-    least = rooted.groupBy("root").agg(F.min("first_doc").alias("component_id"))
-    named = rooted.join(least, "root").select(F.col("fp").alias("print"), "component_id")
-    named = written(named, "simhash-components")
-    return found.join(named, F.col("fp") == F.col("print")).select("doc_id", "fp", "component_id")
+    named = join_on_hubs(rooted, least, "root", rooted.count())
+    named = written(named.select("fp", "component_id", "n"), "simhash-components")
+    return join_on_hubs(found, named, "fp", found.count()).select("doc_id", "fp", "component_id")
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
