@@ -353,10 +353,42 @@ def test_mixing_hot_source(spark, monkeypatch):
     assert {s: round(t) for s, t in targets.items()} == taken
     owned = [b for blocks in shards.values() for b in blocks]
     assert len(owned) == len(set(owned)) and len(shards) > 16  # blocks are in one shard each
+    drawn = {}
+    for source, block in owned:
+        drawn.setdefault(source, []).append(block)
+    assert all(sorted(places) == list(range(len(places))) for places in drawn.values())  # by quota
+    assert max(shards) == len(shards) - 1
     whole = mixing.place(mixing.document_sizes(documents(spark, made)).cache(), whole_documents=True).collect()
     assert all(c.words == r.size for r in whole for c in r.copies)
 
 
+def test_rows_alike_go_on_as_one_and_come_back(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK_WORDS", 16)
+    monkeypatch.setattr(mixing, "ALIKE", 64)
+    made = [(None, "a b c d e", "hot")] * 700 + [(i, "w " * (i % 9), "hot" if i % 2 else None) for i in range(200)]
+    made += [(None, None, "hot")] * 100
+    got = mixing.mix(documents(spark, made)).collect()
+    assert sorted((r.doc_id or -1, r.size) for r in got) == sorted((i or -1, len((t or "").split())) for i, t, _ in made)
+    targets = brute.targets({i: len((t or "").split()) for i, (_, t, _) in enumerate(made)}, {i: s for i, (_, _, s) in enumerate(made)})
+    taken = {}
+    for r in got:
+        own = sum(c.words for c in r.copies)
+        assert own <= 2 * r.size
+        taken[r.source] = taken.get(r.source, 0) + own
+    assert {s: round(t) for s, t in targets.items()} == taken
+
+
+@pytest.mark.parametrize("blocks", [1, 2, 3, 64, 1000, 4096])
+def test_blocks_are_permuted_one_to_one_and_well(spark, blocks):
+    n = F.lit(blocks)
+    place = mixing.permuted(F.col("id"), n, mixing.round_keys(F.lit(3), n))
+    got = [r[0] for r in spark.range(blocks).select(place).collect()]
+    assert sorted(got) == list(range(blocks))
+    if blocks >= 64:  # no rotation: neighbours don't stay neighbours
+        steps = [(b - a) % blocks for a, b in zip(got, got[1:], strict=False)]
+        assert max(map(steps.count, set(steps))) < blocks / 8
+
+
 def test_splitting_tree_quotas(spark, monkeypatch):
     monkeypatch.setattr(mixing, "SHARD_BLOCKS", 4)
     blocks = [100, 0, 37, 1]

@@ -1,30 +1,38 @@
 """Mixing sources to target weights by a hypergeometric splitting tree, DataFrame functions only.
 
-1. Sizes. Every document's words are counted in its row; (doc_id, source, size) is written
-   to the shared folder and texts are not read again.
+1. Sizes. Every document's words are counted in its row; (doc_id, source, size, hash of the
+   text) is written to the shared folder and texts are not read again. Rows alike in these
+   are counted and go on as one.
 2. Targets. Sources in code point order, null last, weigh 3, 1, 2 in turn and share 150 %
    of all words; a target stops at twice its source's size and the excess is reshared by
    weight. That is water-filling: with sources in order of the level at which they are
    full, one running sum tells which are.
-3. Order. A source's documents are permuted by a keyed hash. Prefix sums of their words, in
+3. Stream. A source's documents are permuted by a keyed hash. Prefix sums of their words, in
    two steps (within hash buckets, then over bucket totals, both of about the square root
-   of the source's documents), place each document in its source's stream. The stream is
-   taken whole as often as the target allows, then up to the target.
-4. Splitting tree. A source's stream is cut into blocks of ``BLOCK_WORDS``. The number of
-   blocks of every source is exact; the tree halves the output shards level by level, and
-   each node draws how many blocks of each source go left from the multivariate
-   hypergeometric distribution, one source after another.
-5. Blocks. A bijection of a source's block numbers permutes them, and each shard owns a
-   range of permuted numbers as long as its quota, so shards get disjoint blocks. Within
-   its shard a copy of a document has a place by hash (``order_key``).
+   of the source's documents), place each document in its source's stream, which holds the
+   source as often as the mix may repeat it and is cut into blocks of ``BLOCK_WORDS``.
+4. Splitting tree. A source's quota is the number of blocks that its target takes. The tree
+   halves the output shards level by level, and each node draws how many blocks of each
+   source go left from the multivariate hypergeometric distribution, one source after
+   another.
+5. Blocks. A keyed permutation (swap-or-not, exact for any number) puts a source's blocks
+   into an order of drawing. Each shard draws a range of that order as long as its quota, so
+   shards get disjoint blocks; blocks beyond the quota are not in the mix, and of the last
+   one in the order only the words up to the target are. A document is taken as far as its
+   words are in drawn blocks. Within its shard a piece has a place by hash (``order_key``).
+
+With ``whole_documents`` no document is cut: the stream ends at the target, with the
+document there taken if half of it or more is due, so all its blocks are drawn, and a
+document goes to the shard that drew the block it starts in.
 
 The tree holds a number for each source and shard: shards are at most ``MAX_SHARDS``, and
-sources are few (tens to thousands). Documents are only ever grouped by (source, bucket).
+sources are few (tens to thousands). A shard too large for one file is cut by ranges of
+order_key, each mixed like the whole. Documents are only ever grouped by (source, bucket).
 
 Defined cases: null text has size 0 and is never taken; null is a source of its own; a
-source of size 0 has target 0; repeated rows are documents of their own (ties in the hash
-are broken by what the rows hold); an empty table gives an empty result; extra columns are
-ignored. ``SEED`` fixes all draws, so reruns agree.
+source of size 0 has target 0; repeated rows are documents of their own, next to each other
+in the stream; an empty table gives an empty result; extra columns are ignored. ``SEED``
+fixes all draws, so reruns agree, however the input is split.
 """
 
 from __future__ import annotations
@@ -34,32 +42,41 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewarden.llm.quality_rules import let, word_list
-from tidewarden.llm.shared import sized, written
+from tidewarden.llm.shared import BROADCAST_BYTES, join_on_hubs, sized, written
 
 WEIGHTS = (3.0, 1.0, 2.0)
 #: Share of all words that the mix has, in percent, and how often it may repeat a source.
 TOTAL_PERCENT = 150
 MAX_REPEATS = 2
 BLOCK_WORDS = 4096
-SHARD_BLOCKS = 1024
+#: Blocks that a shard should hold, and shards at most, a power of two.
+SHARD_BLOCKS = 16
 MAX_SHARDS = 1024
+#: Rounds of the permutation of blocks.
+ROUNDS = 24
+#: Rows alike that one task returns.
+ALIKE = 1 << 16
 SEED = 20240607
 #: Draws further than so many deviations from the mean have a chance below 1e-20.
 TAIL = 10
 
 
 def document_sizes(docs: DataFrame) -> DataFrame:
+    """(doc_id, source, size, tie) of every row; tie is a hash of the text."""
+    text = F.coalesce("text", F.lit(""))
     return docs.select(
         "doc_id",
         "source",
-        F.size(word_list(F.coalesce("text", F.lit("")))).cast("bigint").alias("size"),
+        F.size(word_list(text)).cast("bigint").alias("size"),
+        F.xxhash64(text).alias("tie"),
     )
 
 
 def targets(sizes: DataFrame) -> DataFrame:
-    """(source, source_rank, n_docs, source_size, target) for every source."""
+    """(source, source_rank, n_docs, source_size, target) for every source of ``sizes``
+    (source, size, n: rows alike)."""
     sources = sizes.groupBy("source").agg(
-        F.count("*").alias("n_docs"), F.sum("size").alias("source_size")
+        F.sum("n").alias("n_docs"), F.sum(F.col("size") * F.col("n")).alias("source_size")
     )
     ranked = sources.withColumn(
         "source_rank", F.row_number().over(W.orderBy(F.col("source").asc_nulls_last()))
@@ -180,45 +197,80 @@ def array_sum(values: Column) -> Column:
 
 
 def shard_quotas(sources: DataFrame) -> DataFrame:
-    """(shard, quotas: blocks of each source in order of rank), from the splitting tree."""
-    root = sources.agg(
-        F.transform(
-            F.sort_array(F.collect_list(F.struct("source_rank", "blocks"))),
-            lambda x: x["blocks"],
-        ).alias("quotas")
-    ).select(F.lit(0).cast("bigint").alias("shard"), F.lit(1).alias("node"), "quotas")
-    # A leaf is a shard; a tree of depth d has 2 ** d of them.
+    """(shard, quotas: blocks of each source in order of rank), from the splitting tree.
+
+    Nodes are numbered from 1 at the root, 2 n and 2 n + 1 below n; a leaf is a shard. The
+    upper levels grow in one row, and the subtrees below them in as many tasks as there are.
+    """
     total = sources.agg(F.sum("blocks")).first()[0] or 0
     depth = 0
     while (1 << depth) < MAX_SHARDS and (SHARD_BLOCKS << depth) < total:
         depth += 1
-    nodes = root
-    for level in range(depth):
-        half = F.expr("(aggregate(quotas, 0L, (a, x) -> a + x) + 1) div 2")
-        nodes = nodes.withColumn("left", split_quotas(F.col("quotas"), half, F.col("node")))
-        right = F.zip_with("quotas", "left", lambda q, x: q - x)
-        sides = F.array(
-            F.struct((2 * F.col("shard")).alias("shard"), F.col("left").alias("quotas")),
-            F.struct((2 * F.col("shard") + 1).alias("shard"), right.alias("quotas")),
+    quotas = F.transform(
+        F.sort_array(F.collect_list(F.struct("source_rank", "blocks"))), lambda x: x["blocks"]
+    )
+    root = F.struct(F.lit(1).cast("bigint").alias("node"), quotas.alias("quotas"))
+    nodes = sources.agg(F.array(root).alias("nodes"))
+    upper = depth // 2
+    if upper:
+        parts = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        nodes = (
+            nodes.select(F.explode(grown(F.col("nodes"), upper)).alias("x"))
+            .repartition(parts, "x.node")
+            .select(F.array("x").alias("nodes"))
         )
-        nodes = nodes.select(F.explode(sides).alias("x")).select(
-            "x.shard",
-            (F.col("x.shard") + (2 << level)).cast("int").alias("node"),
-            "x.quotas",
+    if depth:
+        nodes = nodes.select(grown(F.col("nodes"), depth - upper).alias("nodes"))
+    return nodes.select(F.explode("nodes").alias("x")).select(
+        (F.col("x.node") - (1 << depth)).alias("shard"), "x.quotas"
+    )
+
+
+def grown(nodes: Column, levels: int) -> Column:
+    """What is below some nodes after so many levels."""
+
+    def children(x: Column) -> Column:
+        take = F.floor((array_sum(x["quotas"]) + 1) / 2)
+        return let(
+            split_quotas(x["quotas"], take, x["node"]),
+            lambda left: F.array(
+                F.struct((2 * x["node"]).alias("node"), left.alias("quotas")),
+                F.struct(
+                    (2 * x["node"] + 1).alias("node"),
+                    F.zip_with(x["quotas"], left, lambda q, n: q - n).alias("quotas"),
+                ),
+            ),
         )
-    return nodes.select("shard", "quotas")
+
+    return F.aggregate(
+        F.sequence(F.lit(1), F.lit(levels)), nodes, lambda some, _: F.flatten(F.transform(some, children))
+    )
 
 
-def source_plan(sizes: DataFrame) -> DataFrame:
-    """Targets, blocks and each shard's range of permuted blocks, a row for each source."""
-    found = targets(sizes).withColumn("words", F.round("target").cast("bigint"))
-    found = written(
-        found.withColumn("blocks", F.expr(f"(words + {BLOCK_WORDS - 1}) div {BLOCK_WORDS}")),
-        "mix-targets",
+def source_plan(sizes: DataFrame, whole_documents: bool) -> DataFrame:
+    """Targets, the stream's blocks and each shard's range of the order of drawing, a row for
+    each source."""
+    words, stream = F.col("words"), F.col("stream")
+    block = F.lit(BLOCK_WORDS).cast("bigint")
+    found = (
+        targets(sizes)
+        .withColumn("words", F.round("target").cast("bigint"))
+        .withColumn("stream", words if whole_documents else MAX_REPEATS * F.col("source_size"))
+        .withColumn("blocks", F.expr(f"(stream + {BLOCK_WORDS - 1}) div {BLOCK_WORDS}"))
+        # The stream's last block lacks some words; it comes at some place of the order.
+        .withColumn("lacks", F.col("blocks") * block - stream)
+        .withColumn("rounds", round_keys(F.col("source_rank"), F.col("blocks")))
+        .withColumn("short_at", permuted(F.col("blocks") - 1, F.col("blocks"), F.col("rounds")))
+        .withColumn("ahead", (F.col("short_at") + 1) * block - F.col("lacks"))
+        .withColumn(
+            "drawn",
+            F.ceil((words + F.when(words > F.col("ahead"), F.col("lacks")).otherwise(0)) / block),
+        )
     )
+    found = written(found, "mix-targets")
     ends = W.partitionBy("source_rank").orderBy("shard")
     per_source = (
-        shard_quotas(found)
+        shard_quotas(found.select("source_rank", F.col("drawn").alias("blocks")))
         .select("shard", F.posexplode("quotas").alias("at", "quota"))
         .withColumn("source_rank", F.col("at") + 1)
         .withColumn("end", F.sum("quota").over(ends))
@@ -229,24 +281,65 @@ def source_plan(sizes: DataFrame) -> DataFrame:
     return written(found.join(per_source, "source_rank", "left"), "mix-plan")
 
 
-def stream_places(sizes: DataFrame, plan: DataFrame) -> DataFrame:
-    """Each document with ``start``, its first word's place in its source's stream."""
-    plan = sized(plan, plan.count(), 200 + 8 * MAX_SHARDS)
+def round_keys(source: Column, blocks: Column) -> Column:
+    """Keys of the rounds that permute a source's blocks."""
+    key = lambda i: F.pmod(F.xxhash64(F.lit(SEED), source, i), F.greatest(blocks, F.lit(1)))
+    return F.transform(
+        F.sequence(F.lit(1), F.lit(ROUNDS)), lambda i: F.struct(i.alias("round"), key(i).alias("key"))
+    )
+
+
+def permuted(block: Column, blocks: Column, rounds: Column) -> Column:
+    """The place of a block in the order of drawing: swap-or-not. A round pairs x with
+    key - x, and a bit of a hash of the pair tells whether it swaps, so each round, and all of
+    them, map the blocks one to one."""
+
+    def swap(x: Column, r: Column) -> Column:
+        other = F.pmod(r["key"] - x, F.greatest(blocks, F.lit(1)))
+        return let(
+            other,
+            lambda y: F.when(
+                F.xxhash64(F.lit(SEED), r["round"], r["key"], F.greatest(x, y)) % 2 == 0, x
+            ).otherwise(y),
+        )
+
+    return F.aggregate(rounds, block.cast("bigint"), swap)
+
+
+def shard_of(place: Column) -> Column:
+    """The shard whose range holds a place: how many ranges end before it, bit by bit."""
+    bits = [MAX_SHARDS >> i for i in range(MAX_SHARDS.bit_length())]
+    return F.aggregate(
+        F.array(*map(F.lit, bits)),
+        F.lit(0),
+        lambda at, b: F.when(F.get("shard_ends", at + b - 1) <= place, at + b).otherwise(at),
+    )
+
+
+def stream_places(docs: DataFrame, plan: DataFrame) -> DataFrame:
+    """Each document with ``start``, its first word's place in its source's stream, and what
+    the plan has of its source."""
+    n_sources = plan.count()
+    names = plan.select("source", "source_rank", "n_docs")
+    names = sized(names, n_sources, 100)
     buckets = F.greatest(F.ceil(F.sqrt("n_docs")).cast("int"), F.lit(1))
     keyed = (
-        sizes.withColumnRenamed("source", "own_source")
-        .join(plan, F.col("own_source").eqNullSafe(F.col("source")))
-        .withColumn("key", F.xxhash64(F.lit(SEED), "doc_id", "size"))
+        docs.withColumnRenamed("source", "own_source")
+        .join(names, F.col("own_source").eqNullSafe(F.col("source")))
+        .withColumn("key", F.xxhash64(F.lit(SEED), "doc_id", "size", "tie"))
         .select(
             "doc_id",
             "own_source",
             "size",
+            "tie",
+            F.col("n").alias("alike"),
             "source_rank",
             "key",
             F.pmod(F.xxhash64("key"), buckets).cast("int").alias("bucket"),
         )
     )
-    totals = keyed.groupBy("source_rank", "bucket").agg(F.sum("size").alias("bucket_size"))
+    all_words = F.col("size") * F.col("alike")
+    totals = keyed.groupBy("source_rank", "bucket").agg(F.sum(all_words).alias("bucket_size"))
     by_bucket = W.partitionBy("source_rank").orderBy("bucket")
     totals = totals.withColumn(
         "bucket_start",
@@ -254,94 +347,129 @@ def stream_places(sizes: DataFrame, plan: DataFrame) -> DataFrame:
             F.sum("bucket_size").over(by_bucket.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)
         ),
     )
-    within = W.partitionBy("source_rank", "bucket").orderBy("key", "doc_id", "size")
+    within = W.partitionBy("source_rank", "bucket").orderBy("key", "doc_id", "size", "tie")
     inner = keyed.withColumn(
         "inner_start",
-        F.coalesce(F.sum("size").over(within.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)),
+        F.coalesce(F.sum(all_words).over(within.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)),
     )
-    placed = inner.join(totals, ["source_rank", "bucket"]).select(
-        "doc_id",
-        "own_source",
-        "size",
-        "source_rank",
-        "key",
-        (F.col("inner_start") + F.col("bucket_start")).alias("start"),
-    )
-    return placed.join(
-        plan.select(
-            F.col("source_rank").alias("plan_rank"),
-            "source_size",
-            "target",
-            "words",
-            "blocks",
-            "shard_ends",
+    placed = one_by_one(
+        inner.join(totals, ["source_rank", "bucket"]).select(
+            "doc_id",
+            "own_source",
+            "size",
+            "alike",
+            "source_rank",
+            "key",
+            (F.col("inner_start") + F.col("bucket_start")).alias("start"),
         ),
-        F.col("source_rank") == F.col("plan_rank"),
-    ).drop("plan_rank")
+        docs.agg(F.max("n")).first()[0] or 0,
+    )
+    plan = plan.drop("source").withColumnRenamed("n_docs", "n")
+    row_bytes = 600 + 8 * MAX_SHARDS
+    if n_sources * row_bytes < BROADCAST_BYTES:
+        return placed.join(F.broadcast(plan.drop("n")), "source_rank")
+    placed = written(placed, "mix-placed")
+    return join_on_hubs(placed, plan, "source_rank", placed.count())
+
+
+def one_by_one(placed: DataFrame, most: int) -> DataFrame:
+    """Rows alike, counted in ``alike``, as a row each (``copy`` tells them apart), their starts
+    next to each other; groups of more than ``ALIKE`` are dealt to tasks first."""
+    if most > ALIKE:
+        parts = int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        first = F.sequence(F.lit(0).cast("bigint"), F.col("alike") - 1, F.lit(ALIKE).cast("bigint"))
+        placed = placed.withColumn("first", F.explode(first)).repartition(parts, "key", "first")
+    else:
+        placed = placed.withColumn("first", F.lit(0).cast("bigint"))
+    last = F.least(F.col("alike"), F.col("first") + ALIKE) - 1
+    return (
+        placed.withColumn("copy", F.explode(F.sequence(F.col("first"), last)))
+        .withColumn("start", F.col("start") + F.col("copy") * F.col("size"))
+        .drop("alike", "first")
+    )
 
 
 def mix(docs: DataFrame, whole_documents: bool = False) -> DataFrame:
     """(doc_id, source, size, source_size, target, copies) of every row of ``docs``.
 
-    ``copies`` is an array of (words, block, shard, order_key): each time the mix takes the
-    document, with how many of its first words. Only the document at a source's target is
-    taken in part; with ``whole_documents`` it is taken whole if half of it or more is due.
+    ``copies`` is an array of (words, block, shard, order_key): each piece of the document that
+    the mix takes, with its number of words, and the place of its block in the order of
+    drawing. With ``whole_documents`` a piece is the document.
     """
-    sizes = written(document_sizes(docs), "mix-sizes")
-    return place(sizes, whole_documents)
+    return place(written(document_sizes(docs), "mix-sizes"), whole_documents)
 
 
 def place(sizes: DataFrame, whole_documents: bool = False) -> DataFrame:
-    """``mix`` of documents whose sizes are counted: (doc_id, source, size)."""
-    placed = stream_places(sizes, source_plan(sizes))
-    due = [
-        F.greatest(
-            F.lit(0).cast("bigint"),
-            F.least(
-                F.col("size"), F.col("words") - (r * F.col("source_size") + F.col("start"))
-            ),
-        )
-        for r in range(MAX_REPEATS)
-    ]
-    if whole_documents:
-        due = [F.when(2 * x >= F.col("size"), F.col("size")).otherwise(F.lit(0)) for x in due]
-
-    def copy(r: int) -> Column:
-        place = r * F.col("source_size") + F.col("start")
-        # A place past the target (a document rounded up) belongs to the last block.
-        block = F.least(place.cast("bigint"), F.col("words") - 1)
-        block = F.floor(block / BLOCK_WORDS)
-        permuted = F.pmod(
-            block * step(F.col("blocks")) + F.xxhash64(F.lit(SEED), "source_rank") % 65536,
-            F.greatest(F.col("blocks"), F.lit(1)),
-        )
-        shard = F.size(F.filter("shard_ends", lambda end: end <= permuted))
-        return F.struct(
-            due[r].cast("bigint").alias("words"),
-            permuted.cast("bigint").alias("block"),
-            shard.cast("int").alias("shard"),
-            F.xxhash64(F.lit(SEED), F.lit(r), "key").alias("order_key"),
-        )
-
-    copies = F.filter(F.array(*(copy(r) for r in range(MAX_REPEATS))), lambda c: c["words"] > 0)
+    """``mix`` of documents whose sizes are counted: (doc_id, source, size, tie)."""
+    docs = written(
+        sizes.groupBy("doc_id", "source", "size", "tie").agg(F.count("*").alias("n")), "mix-documents"
+    )
+    placed = stream_places(docs, source_plan(docs, whole_documents))
+    pieces = whole_pieces if whole_documents else drawn_pieces
     return placed.select(
         "doc_id",
         F.col("own_source").alias("source"),
         "size",
         "source_size",
         "target",
-        copies.alias("copies"),
+        F.filter(
+            F.concat(*(pieces(r) for r in range(MAX_REPEATS))), lambda c: c["words"] > 0
+        ).alias("copies"),
     )
 
 
-def step(blocks: Column) -> Column:
-    """A number without a common divisor with ``blocks``: n -> step * n mod blocks permutes.
+def drawn_pieces(repeat: int) -> Column:
+    """What drawn blocks hold of a document, this time that the stream has it."""
+    first = repeat * F.col("source_size") + F.col("start")
+    last = first + F.col("size")
+    block_words = F.lit(BLOCK_WORDS).cast("bigint")
 
-    Primes above 2 ** 15; the first that does not divide ``blocks``. Their product exceeds
-    2 ** 60, so no number of blocks is divisible by all four.
-    """
-    primes = (40961, 49157, 57367, 65537)
-    return F.coalesce(*(F.when(blocks % p != 0, F.lit(p)) for p in primes), F.lit(1))
+    def words(block: Column, place: Column) -> Column:
+        before = place * block_words - F.when(place > F.col("short_at"), F.col("lacks")).otherwise(0)
+        due = F.least(F.greatest(F.col("words") - before, F.lit(0).cast("bigint")), block_words)
+        start = block * block_words
+        return F.greatest(F.least(last, start + due) - F.greatest(first, start), F.lit(0).cast("bigint"))
+
+    def of_block(block: Column) -> Column:
+        return let(
+            permuted(block, F.col("blocks"), F.col("rounds")),
+            lambda place: piece_of(repeat, words(block, place), block, place),
+        )
+
+    # Words are counted from 0, so the last one is in the block of last - 1.
+    own = F.sequence(F.floor(first / block_words), F.floor((last - 1) / block_words))
+    return F.when(F.col("size") > 0, F.transform(own, of_block)).otherwise(no_pieces())
+
+
+def whole_pieces(repeat: int) -> Column:
+    """The document, if the stream has half of it or more before the target."""
+    first = repeat * F.col("source_size") + F.col("start")
+    due = F.least(F.col("size"), F.col("words") - first)
+    # A document rounded up starts before the target, too.
+    block = F.floor(first / BLOCK_WORDS)
+    taken = (F.col("size") > 0) & (2 * due >= F.col("size"))
+    one = F.transform(
+        F.array(block),
+        lambda b: let(
+            permuted(b, F.col("blocks"), F.col("rounds")),
+            lambda place: piece_of(repeat, F.col("size"), b, place),
+        ),
+    )
+    return F.when(taken, one).otherwise(no_pieces())
+
+
+def piece_of(repeat: int, words: Column, block: Column, place: Column) -> Column:
+    return F.struct(
+        words.alias("words"),
+        place.alias("block"),
+        F.when(words > 0, shard_of(place)).alias("shard"),
+        F.xxhash64(F.lit(SEED), F.lit(repeat), "key", "copy", block).alias("order_key"),
+    )
+
+
+def no_pieces() -> Column:
+    kind = "array<struct<words: bigint, block: bigint, shard: int, order_key: bigint>>"
+    return F.expr(f"cast(array() as {kind})")
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -353,5 +481,5 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "source_size",
         "target",
         F.aggregate("copies", F.lit(0).cast("bigint"), lambda a, c: a + c["words"]).alias("taken"),
-        F.transform("copies", lambda c: c["shard"]).alias("shards"),
+        F.array_sort(F.array_distinct(F.transform("copies", lambda c: c["shard"]))).alias("shards"),
     )

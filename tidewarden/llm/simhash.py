@@ -45,7 +45,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewarden.llm.shared import map_arrow, sized, written
+from tidewarden.llm.shared import join_on_hubs, map_arrow, sized, written
 
 RADIUS = 4
 #: Radius of a search under a mask.
@@ -417,23 +417,6 @@ def components(edges: DataFrame) -> DataFrame:
     )
 
 
-def join_on_hubs(rows: DataFrame, side: DataFrame, key: str, total: int) -> DataFrame:
-    """``rows`` with the columns of ``side``, a table with one row for each key; its ``n`` is
-    how many rows a key meets at most, and ``total`` the sum of these.
-
-    Keys with more than a part of 1 in 4 partitions are fewer than that many, so they are
-    broadcast; what is left is spread evenly by a shuffle.
-    """
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    hub = F.col("n") > max(1000, total // (4 * parts))
-    hubs = side.where(hub).drop("n")
-    if not hubs.take(1):
-        return rows.join(side.drop("n"), key)
-    hubs = F.broadcast(hubs)
-    rest = rows.join(hubs.select(key), key, "left_anti").join(side.where(~hub).drop("n"), key)
-    return rows.join(hubs, key).unionByName(rest)
-
-
 def near_duplicates(docs: DataFrame, radius: int = MASKED_RADIUS) -> DataFrame:
     """(doc_id, fp, component_id) of every row of ``docs`` (doc_id, text)."""
     found = written(fingerprints(docs), "simhash-docs")
