@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -270,6 +271,37 @@ def test_gradients_are_right():
         assert (up - down) / (2 * step) == pytest.approx(grads[name][at], abs=2e-4)
 
 
+def shown(page):
+    return [b.text for b in html_extraction.blocks(page)]
+
+
+def test_html_reader_closes_what_is_never_shown():
+    text = "<article><p>one two</p><p>three <b>four</b></p></article>"
+    want = ["one two", "three four"]
+    assert shown(f"<html><head><title>t</title><meta charset=x><link>{text}") == want  # head without an end
+    assert shown(f"<head><script>a</script><noscript><p>z</p></noscript>{text}</head>") == want
+    assert shown("<head><title>t</title> one two <p>three four") == want
+    assert shown("<p>one <script>x</script>two<style>p{}</style></p><p>three<svg><path d=1><text>z</text></svg> four") == want
+    assert shown("<p>one <svg/>two</p><svg viewBox='0 0'><g><p>three four</p>") == want
+    assert shown("<div><object data=x>fallback <p>z</p></div><p>one two<p>three <canvas>z</canvas>four") == want
+    assert shown("<p>one two</p><!-- <p>z</p> --><p>three <!-- z -->four<!-- z <p>z</p>") == want
+    assert shown("<p>one two</p><p>three four<script>if (a</b) z") == want
+    assert shown("<p title='a > b'>one two</p><p class=\"x>three four</p>") == want
+    assert shown("a < b <c") == ["a < b <c"]
+    assert shown("<p>a</p><iframe><p>z</p></iframe><p>b<template><p>z</p></template>c") == ["a", "bc"]
+
+
+@pytest.mark.parametrize("page", [
+    "<p>" + "<a " * 350_000, "<p>" + "<a " * 350_000 + ">", "<p>" + '<a ">"' * 170_000 + ">", "<a '>" * 200_001,
+    "<div>" * 100_000 + "</p>" * 100_000, "<!--" * 250_000, "<script " * 125_000, "<script>" * 125_000, "<" * 1_000_000,
+    "<p>a" * 50_000, "<svg>" * 200_000, "<!" * 500_000, "<head>" * 150_000 + "x" * 1000,
+])
+def test_html_reader_is_linear(page):
+    began = time.process_time()
+    html_extraction.blocks(page)
+    assert time.process_time() - began < 6
+
+
 def test_html_edges(spark):
     nav = "<nav><ul><li><a href=/a>Home</a><li><a href=/b>News</a></ul></nav>"
     para = "The river rose by two metres in the night and the lower town was flooded again."

@@ -12,9 +12,13 @@ its weights (under a megabyte) are sent to the executors. A tag path always proj
 same vector, so workers remember projections of up to ``PATHS`` paths.
 
 Defined cases: null or empty html, or html without article text, gives empty text; text
-outside any tag is a block; unclosed and stray tags are closed or skipped as browsers do;
-script, style and other text that is never shown makes no block; repeated rows each get
-their text; an empty table gives an empty result; extra columns are ignored.
+outside any tag is a block; unclosed and stray tags are closed or skipped as browsers do (a
+head ends at the first tag or text that can't be in it, an svg at a paragraph or the like, any
+element with its parent, and elements deeper than ``DEPTH`` are siblings); an unclosed script
+or style runs to the page's end; script, style and other text that is never shown makes no
+block and parts none; a ``<`` that starts no tag is text; repeated rows each get their text;
+an empty table gives an empty result; extra columns are ignored. A page is read in time
+proportional to its length.
 """
 
 from __future__ import annotations
@@ -22,6 +26,7 @@ from __future__ import annotations
 import html
 import re
 import zlib
+from collections import Counter
 from dataclasses import dataclass, field
 from functools import cache
 
@@ -41,8 +46,15 @@ HIDDEN = 16
 #: Projections of tag paths, and buckets of words, that a worker remembers.
 PATHS = 50_000
 WORDS = 200_000
-#: Pages that the network reads side by side.
+#: Pages that the network reads side by side, and blocks of these, shorter pages filled up.
 SIDE_BY_SIDE = 64
+BLOCKS_AT_ONCE = 1 << 16
+#: Open elements, at most.
+DEPTH = 512
+#: Characters within which quotes in a tag are heeded; a longer tag ends at its first ``>``, as
+#: do tags after so many futile readings of a page.
+TAG_CHARS = 1 << 16
+READINGS = 8
 
 #: Tags that end a block, a fixed value from the HTML standard.
 BLOCK_TAGS = frozenset(
@@ -54,8 +66,12 @@ BLOCK_TAGS = frozenset(
 VOID_TAGS = frozenset(
     "area base br col embed frame hr img input link meta param source track wbr".split()
 )
-#: Elements whose text is never shown.
-SILENT = "script|style|noscript|template|svg|head|object|canvas|iframe|title"
+#: Elements that hold no tags up to their end tag, those whose contents are never shown,
+#: those of a head, and those that a paragraph or the like ends: fixed values from the HTML standard.
+RAW = frozenset("script style title iframe noembed noframes xmp".split())
+SILENT = frozenset("head noscript template svg math canvas object".split())
+HEAD_TAGS = RAW | frozenset("meta link base basefont bgsound noscript template head".split())
+FOREIGN = frozenset("svg math".split())
 #: A tag whose start ends an open one of these.
 IMPLIED_END = {
     "li": ("li",),
@@ -69,14 +85,9 @@ IMPLIED_END = {
 #: Elements that an implied end does not look out of.
 SCOPES = frozenset("ul ol table dl select body div article section aside nav main".split())
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    rf"|<({SILENT})\b[^>]*+>.*?(?:</\1\s*>|\Z)"
-    r"""|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>"""
-    r"|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>"
-    r"|<[!?][^>]*+>",
-    re.DOTALL | re.IGNORECASE,
-)
+TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
+LOOSE_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
+RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.IGNORECASE) for tag in RAW}
 NAMES = re.compile(
     r"""\b(?:class|id|role|itemprop)\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]++))""", re.IGNORECASE
 )
@@ -97,16 +108,23 @@ class Reader:
 
     stack: list[str] = field(default_factory=list)  # tags
     paths: list[str] = field(default_factory=list)  # tag and names, from the root down
+    open_tags: Counter[str] = field(default_factory=Counter)
     blocks: list[Block] = field(default_factory=list)
     parts: list[str] = field(default_factory=list)
     links: int = 0
     link_chars: int = 0
+    hidden: int = 0  # place in the stack, from 1, of the element that hides what it holds
 
     def text(self, raw: str) -> None:
-        if raw:
-            self.parts.append(raw)
-            if self.links:
-                self.link_chars += len(raw)
+        if not raw:
+            return
+        if self.hidden:
+            if self.stack[-1] != "head" or raw.isspace():
+                return
+            self.close(len(self.stack) - 1)
+        self.parts.append(raw)
+        if self.links:
+            self.link_chars += len(raw)
 
     def end_block(self) -> None:
         if self.parts:
@@ -117,16 +135,37 @@ class Reader:
             self.parts, self.link_chars = [], 0
 
     def close(self, to: int) -> None:
+        for tag in self.stack[to:]:
+            self.open_tags[tag] -= 1
         del self.stack[to:], self.paths[to:]
+        if self.hidden > to:
+            self.hidden = 0
+
+    def open(self, tag: str, path: str) -> None:
+        if len(self.stack) >= DEPTH:
+            self.close(DEPTH - 1)
+        self.stack.append(tag)
+        self.paths.append(path)
+        self.open_tags[tag] += 1
 
     def start_tag(self, tag: str, attributes: str) -> None:
+        if self.hidden:
+            outer = self.stack[self.hidden - 1]
+            if self.stack[-1] == "head" and tag not in HEAD_TAGS or outer in FOREIGN and tag in BLOCK_TAGS:
+                self.close(self.hidden - 1)
+        if tag in SILENT:
+            if not (tag in FOREIGN and attributes.endswith("/")):
+                self.open(tag, self.paths[-1] if self.paths else "")
+                self.hidden = self.hidden or len(self.stack)
+            return
         if tag == "br":
             self.parts.append(" ")
         elif tag == "a":
             self.links += 1
         if tag not in BLOCK_TAGS:
             return
-        self.end_block()
+        if not self.hidden:
+            self.end_block()
         if tag in VOID_TAGS:
             return
         if "p" in self.stack[-1:]:
@@ -137,36 +176,58 @@ class Reader:
                 self.close(at)
             elif self.stack[at] in SCOPES:
                 break
-        self.stack.append(tag)
         names = " ".join(x for m in NAMES.findall(attributes) for x in m) if attributes else ""
         words = NAME_WORD.findall(CAMEL.sub(" ", names).lower()) if names else ()
         own = " ".join([tag, *(f".{w}" for w in dict.fromkeys(words))])
-        self.paths.append(f"{self.paths[-1]}/{own}" if self.paths else own)
+        self.open(tag, f"{self.paths[-1]}/{own}" if self.paths and self.paths[-1] else own)
 
     def end_tag(self, tag: str) -> None:
         if tag == "a":
             self.links = max(0, self.links - 1)
-        if tag in BLOCK_TAGS:
+        at = len(self.stack) - 1 - self.stack[::-1].index(tag) if self.open_tags[tag] else len(self.stack)
+        if tag in BLOCK_TAGS and (not self.hidden or at < self.hidden):
             self.end_block()
-            if tag in self.stack:
-                at = len(self.stack) - 1 - self.stack[::-1].index(tag)
-                self.close(at)
+        self.close(at)
+
+
+def quoted_tag(page: str, at: int, end: int, futile: int) -> re.Match | None:
+    if futile > READINGS * len(page):
+        return None
+    return TAG.match(page, at, min(end, at + TAG_CHARS))
 
 
 def blocks(page: str | None) -> list[Block]:
     """Leaf blocks of a page, in order."""
-    reader, at = Reader(), 0
-    for m in TOKEN.finditer(page or ""):
-        reader.text(page[at : m.start()])
-        at = m.end()
-        if tag := m[3] or m[6]:
-            if m[2] or m[5]:
-                reader.end_tag(tag.lower())
+    page, reader = page or "", Reader()
+    done = at = 0  # up to where text is read, and tags are looked for
+    end = page.rfind(">") + 1  # no tag ends later
+    futile = 0  # characters read for tags whose quotes don't end
+    while (at := page.find("<", at, end)) >= 0:
+        follows = page[at + 1 : at + 2]
+        if page.startswith("<!--", at):
+            reader.text(page[done:at])
+            close = page.find("-->", at + 4)
+            done = at = close + 3 if close >= 0 else len(page)
+        elif follows in "!?":
+            reader.text(page[done:at])
+            done = at = page.find(">", at) + 1
+        elif m := quoted_tag(page, at, end, futile) or LOOSE_TAG.match(page, at, end):
+            futile += 0 if m.re is TAG else min(TAG_CHARS, end - at)
+            reader.text(page[done:at])
+            done = at = m.end()
+            tag = m[2].lower()
+            if m[1]:
+                reader.end_tag(tag)
+            elif tag in RAW:
+                if tag == "iframe":
+                    reader.end_block()
+                found = RAW_END[tag].search(page, at)
+                done = at = found.start() if found else len(page)
             else:
-                reader.start_tag(tag.lower(), m[4] or m[7] or "")
-        elif m[1]:
-            reader.end_block()
-    reader.text((page or "")[at:])
+                reader.start_tag(tag, m[3])
+        else:
+            at += 1
+    reader.text(page[done:])
     reader.end_block()
     return reader.blocks
 
@@ -376,8 +437,16 @@ class Extractor:
         """Log-odds of the blocks of each page."""
         out: list[np.ndarray] = [np.zeros(0)] * len(pages)
         order = sorted((i for i, p in enumerate(pages) if p), key=lambda i: len(pages[i]))
-        for a in range(0, len(order), SIDE_BY_SIDE):
-            some = order[a : a + SIDE_BY_SIDE]
+        batches: list[list[int]] = []
+        for i in order:
+            if (
+                not batches
+                or len(batches[-1]) >= SIDE_BY_SIDE
+                or (len(batches[-1]) + 1) * len(pages[i]) > BLOCKS_AT_ONCE
+            ):
+                batches.append([])
+            batches[-1].append(i)
+        for some in batches:
             lengths = np.array([len(pages[i]) for i in some])
             x = np.zeros((len(some), lengths.max(), 8 * HIDDEN), np.float32)
             for k, i in enumerate(some):
