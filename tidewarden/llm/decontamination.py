@@ -10,7 +10,8 @@ The automaton is a copy on every executor, so its patterns are sized first. Item
 then scanned by each and the hits united per document. Nothing is left out at any size.
 
 Defined cases: null or empty text has no words and no hits; an item without words has no
-window, one without an id is no item; items with the same window are all reported;
+window; items without an id are one item that counts but has no place in lists of ids;
+items with the same window are all reported;
 repeated documents are repeated in the result; an empty benchmark hits nothing; extra
 columns are ignored.
 """
@@ -72,16 +73,16 @@ def normal_text(text: str | None) -> tuple[str, int]:
 class Matcher:
     """Patterns ``" w1 ... wn "`` with their number of words and the items that have them."""
 
-    patterns: list[tuple[str, int, tuple[str, ...]]]
+    patterns: list[tuple[str, int, tuple[str | None, ...]]]
 
     @classmethod
-    def of(cls, items: list[tuple[str, str | None]], window: int) -> Matcher:
-        found: dict[tuple[str, ...], set[str]] = {}
+    def of(cls, items: list[tuple[str | None, str | None]], window: int) -> Matcher:
+        found: dict[tuple[str, ...], set[str | None]] = {}
         for item_id, text in items:
             words = normal_words(text)
             for i in range(max(1, len(words) - window + 1) if words else 0):
                 found.setdefault(tuple(words[i : i + window]), set()).add(item_id)
-        return cls([(f" {' '.join(w)} ", len(w), tuple(sorted(x))) for w, x in found.items()])
+        return cls([(f" {' '.join(w)} ", len(w), tuple(in_order(x))) for w, x in found.items()])
 
     def __getstate__(self) -> list:
         return self.patterns
@@ -99,10 +100,10 @@ class Matcher:
                 self._automaton.make_automaton()
         return self._automaton
 
-    def scan(self, joined: str) -> tuple[list[tuple[int, int]], set[str]]:
+    def scan(self, joined: str) -> tuple[list[tuple[int, int]], set[str | None]]:
         """Ranges of hit words of a normal text, and the ids of items with a window there."""
         ranges: list[tuple[int, int]] = []
-        items: set[str] = set()
+        items: set[str | None] = set()
         at = seen = 0
         for end, (n, ids) in self.automaton.iter(joined) if self.patterns else ():
             at += joined.count(" ", seen, end)  # words that end before this place
@@ -112,6 +113,11 @@ class Matcher:
         return ranges, items
 
 
+def in_order(ids: set[str | None]) -> list[str | None]:
+    """Ids sorted as strings; the item without one, if any, comes last."""
+    return sorted(ids - {None}) + [None] * (None in ids)
+
+
 def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Ranges in order, those that touch or overlap as one."""
     out: list[tuple[int, int]] = []
@@ -137,9 +143,9 @@ def matchers(benchmark: DataFrame, window: int) -> list[Matcher]:
     Only item ids and texts are read to the driver, one bounded part at a time.
     """
     out: list[Matcher] = []
-    part: list[tuple[str, str | None]] = []
+    part: list[tuple[str | None, str | None]] = []
     size = 0
-    rows = benchmark.select(F.col("item_id").cast("string"), "text").na.drop(subset=["item_id"])
+    rows = benchmark.select(F.col("item_id").cast("string"), "text")
     for item_id, text in rows.distinct().toLocalIterator():
         part.append((item_id, text))
         size += len(text or "") * window  # each word stands in up to so many patterns
@@ -160,7 +166,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFra
         for text in batch.column("text").to_pylist():
             joined, n = normal_text(text)
             ranges: list[tuple[int, int]] = []
-            items: set[str] = set()
+            items: set[str | None] = set()
             for matcher in shared:
                 some, ids = matcher.value.scan(joined)
                 ranges += some
@@ -169,7 +175,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFra
             values = (
                 n,
                 sum(b - a + 1 for a, b in ranges),
-                sorted(items),
+                in_order(items),
                 [{"first": a, "last": b} for a, b in ranges],
                 [{"start": a, "end": b} for a, b in char_spans(text, ranges)],
             )
@@ -202,11 +208,11 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def brute_force(text: str | None, items: dict[str, str | None], window: int = WINDOW) -> tuple:
+def brute_force(text: str | None, items: dict[str | None, str | None], window: int = WINDOW) -> tuple:
     """(n_words, n_hit, sorted item ids) of one text, each window tried at each place."""
     words = normal_words(text)
     hit: set[int] = set()
-    ids: set[str] = set()
+    ids: set[str | None] = set()
     for item_id, item in items.items():
         own = normal_words(item)
         for i in range(max(1, len(own) - window + 1) if own else 0):
@@ -215,7 +221,7 @@ def brute_force(text: str | None, items: dict[str, str | None], window: int = WI
                 if words[j : j + len(want)] == want:
                     hit.update(range(j, j + len(want)))
                     ids.add(item_id)
-    return len(words), len(hit), sorted(ids)
+    return len(words), len(hit), in_order(ids)
 
 
 def item_digest(ids: list[str]) -> str:
