@@ -8,13 +8,16 @@ the stack of the latest segment on to the URLs that follow: one sweep, no pairs.
 
 The sweep runs in many independent lanes. URLs are dealt to lanes in turn, so a host, or
 one repeated row, with a third of all rows spreads over all lanes. Each lane sorts its own
-copy of the segments in, ``lanes`` x 2 rows for each host that has a rule; set ``lanes``
-lower where the rule table is of the order of the URLs in a lane.
+copy of the segments in, ``lanes`` x 2 rows for each host that has a rule. ``lanes`` follows
+from counts: as many as keep the copies fewer than the URLs, and enough for a lane's URLs
+to fit a task.
 
 Defined cases: a null URL, or one without ``://``, has an empty host and path and gets the
 default verdict; repeated rows stay; an empty table gives an empty result; an empty rule
-table gives every URL the default; rules that are equal count once; extra columns of the
-input are ignored.
+table gives every URL the default; rules that are equal count once; of contrary rules for
+one host and path the verdict last in order holds (block before allow); a rule with a null
+verdict or host is none, and a null path is an empty one; extra columns of the input are
+ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewarden.llm.shared import ascii_lower
+from tidewarden.llm.shared import ascii_lower, written
 
 #: The rules of the registered query: verdict, host, path.
 QUERY_RULES = (
@@ -34,6 +37,8 @@ QUERY_RULES = (
     ("block", "net", "/fr/"),
 )
 DEFAULT_VERDICT = "allow"
+#: URLs of a lane, at most.
+LANE_URLS = 4_000_000
 RULE_SCHEMA = T.StructType(
     [T.StructField(name, T.StringType()) for name in ("verdict", "rule_host", "rule_path")]
 )
@@ -77,7 +82,8 @@ def segments(rules: DataFrame) -> DataFrame:
             F.coalesce("rule_path", F.lit("")).alias("rule_path"),
         )
         .dropna()
-        .dropDuplicates(["rule_host", "rule_path"])
+        .groupBy("rule_host", "rule_path")
+        .agg(F.max("verdict").alias("verdict"))
         .withColumn("rule_key", host_key(F.col("rule_host")))
     )
     item = F.struct(
@@ -123,6 +129,12 @@ def segments(rules: DataFrame) -> DataFrame:
     )
 
 
+def lanes_for(urls: DataFrame, cuts: DataFrame) -> int:
+    parts = int(urls.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = urls.count()
+    return max(1, n // LANE_URLS, min(4 * parts, n // max(1, cuts.count())))
+
+
 def judge(
     urls: DataFrame,
     rules: DataFrame,
@@ -131,8 +143,8 @@ def judge(
     lanes: int | None = None,
 ) -> DataFrame:
     """(id, host, path, rule, verdict) of every row of ``urls`` (id, url)."""
-    cuts = segments(rules)
-    lanes = lanes or 4 * int(urls.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cuts = written(segments(rules), "url-segments")
+    lanes = lanes or lanes_for(urls, cuts)
     keyed = urls.select(
         F.col(id_col).alias(id_col),
         url_host(F.col("url")).alias("host"),
@@ -179,7 +191,8 @@ def judge(
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's host, path, longest fitting rule and verdict."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
-    return judge(pages, spark.createDataFrame(list(QUERY_RULES), RULE_SCHEMA))
+    values = ", ".join(str(rule) for rule in QUERY_RULES)
+    return judge(pages, spark.sql(f"SELECT * FROM VALUES {values} AS r(verdict, rule_host, rule_path)"))
 
 
 ORACLE = r"""
