@@ -58,6 +58,13 @@ def test_decontamination_offsets_and_many_automata(spark, monkeypatch):
     assert one == many
 
 
+def test_items_without_an_id_hit_and_count_as_one(spark):
+    items = [(None, "one two three"), (None, "five six"), (3, "five six")]
+    docs = documents(spark, [(1, "zero one two three four", "a"), (2, "five six", "a"), (3, "none", "a")])
+    got = {r.doc_id: (r.n_hit, r.item_ids) for r in decontamination.hits(docs, benchmark(spark, items)).collect()}
+    assert got == {1: (3, [None]), 2: (2, ["3", None]), 3: (0, [])}
+
+
 def test_decontamination_random(spark):
     rng = random.Random(3)
     word = lambda: rng.choice("abc")
@@ -235,6 +242,9 @@ def test_ledger_scans_only_unseen_pairs(spark):
     more = docs.unionByName(documents(spark, [(90, "text 1", "a"), (91, "new", "a")]))
     assert secret_scan.scan(more, ledger, scanner).count() == 32 and seen.value == 4
     assert secret_scan.scan(more, ledger, scanner, version=2).count() == 32 and seen.value == 8
+    alike = documents(spark, [(1, "alike", "a"), (None, "nameless", "a")] * 50 + [(2, "alike", "a")]).repartition(4)
+    again = secret_scan.scan(alike, ledger, scanner).collect()
+    assert len(again) == 101 and seen.value == 10 and all(r.spans for r in again)
 
 
 # 5
@@ -467,6 +477,10 @@ def test_urls(spark):
     )
     got = {r[0]: tuple(r)[1:] for r in url_filters.judge(df, spark.createDataFrame(rules, url_filters.RULE_SCHEMA)).collect()}
     assert got == {i: plain_judge(u, rules) for i, u in enumerate(urls)}
+    contrary = [*rules, ("block", "com", "/"), ("allow", "net", "/fr/")]
+    some = url_filters.judge(df, spark.createDataFrame(contrary, url_filters.RULE_SCHEMA)).collect()
+    want = {i: plain_judge(u, [*rules[1:], ("block", "com", "/")]) for i, u in enumerate(urls)}
+    assert {r[0]: tuple(r)[1:] for r in some} == want  # block before allow
     none = url_filters.judge(df, spark.createDataFrame([], url_filters.RULE_SCHEMA)).collect()
     assert len(none) == len(urls) and {r.verdict for r in none} == {"allow"}
     assert rows(url_filters.judge(df.limit(0), spark.createDataFrame(rules, url_filters.RULE_SCHEMA))) == []

@@ -15,7 +15,7 @@ Spans are kind:start:end in code points, end exclusive. The base kinds are assig
 and hex; rule version 1 adds tokens of public services and private key headers.
 
 Defined cases: null text is the empty blob; ledger rows of other rule versions are kept
-and ignored; rows that repeat both doc_id and text are scanned alike and each get the
+and ignored; rows that repeat both doc_id and text are scanned once and each get the
 findings; rows of one doc_id with other texts are paths of their own; an empty table gives
 an empty result; extra columns are ignored.
 """
@@ -122,11 +122,16 @@ def scan(
     known = ledger_rows(spark, ledger).where(F.col("rule_version") == version).select("blob")
     # One path for each unseen blob; a doc_id may come with several texts, so that is a pair.
     chosen = written(
-        addresses.groupBy("blob")
-        .agg(F.min("doc_id").alias("doc_id"))
-        .join(known, "blob", "left_anti"),
+        addresses.groupBy("blob", "doc_id")
+        .agg(F.count("*").alias("n"))
+        .groupBy("blob")
+        .agg(F.min(F.struct("doc_id", "n")).alias("x"))
+        .join(known, "blob", "left_anti")
+        .select(F.col("x.doc_id").alias("own"), F.col("blob").alias("own_blob"), "x.n"),
         "secret-unseen",
-    ).select(F.col("doc_id").alias("own"), F.col("blob").alias("own_blob"))
+    )
+    repeated = chosen.where("n > 1").select("own_blob")
+    chosen = chosen.drop("n")
     n_scan = chosen.count()
     row_bytes = 150
     same = (F.col("blob") == F.col("own_blob")) & F.col("doc_id").eqNullSafe(F.col("own"))
@@ -138,6 +143,12 @@ def scan(
         texts = paths.join(F.broadcast(skipped), same, "left_anti")
     else:
         texts = paths.join(chosen, same, "left_semi")
+    n_repeated = repeated.count()
+    if n_repeated:  # rows of one path and text: one of each blob
+        repeated = sized(repeated, n_repeated, 100)
+        named = F.col("blob") == F.col("own_blob")
+        once = texts.join(repeated, named, "left_semi").dropDuplicates(["blob"])
+        texts = texts.join(repeated, named, "left_anti").unionByName(once)
     scan_blobs(texts, scanner, version).write.mode("append").parquet(ledger)
     # Written, so that the join below has plain exchanges and a blob with a third of all paths
     # can be split.
@@ -148,7 +159,8 @@ def scan(
         .dropDuplicates(["blob"]),
         "secret-findings",
     )
-    findings = sized(findings, findings.count(), 400)
+    n_found, n_spans = findings.agg(F.count("*"), F.sum(F.size("spans"))).first()
+    findings = sized(findings, n_found + (n_spans or 0), 120)
     empty = F.expr("cast(array() as " + SPAN_SCHEMA.replace(": ", ":") + ")")
     return addresses.join(findings, "blob", "left").select(
         "doc_id", "blob", F.coalesce("spans", empty).alias("spans")

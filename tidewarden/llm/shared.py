@@ -13,6 +13,8 @@ from pyspark.sql import types as T
 
 #: Rows that an Arrow batch for Python holds: some hundred long texts fit a worker.
 BATCH_ROWS = 512
+#: Bytes that an Arrow batch holds, but for a longer text.
+BATCH_BYTES = 32 << 20
 #: A side of fewer estimated bytes is broadcast; a larger one is joined by shuffles.
 BROADCAST_BYTES = 16 << 20
 
@@ -20,10 +22,12 @@ BROADCAST_BYTES = 16 << 20
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder that the cluster names in spark.checkpoint.dir.
 
-    Only where it is unset (tests on one machine), a temporary folder is made and set.
+    Where it is unset, a temporary folder is made and set if Spark runs on this machine alone.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tidewarden-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -53,8 +57,10 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound what one Arrow batch of whole texts takes in a Python worker."""
+    """Bound what one Arrow batch of whole texts takes in a Python worker, in rows and bytes,
+    for the session: plans take these settings when they run."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def sized(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
