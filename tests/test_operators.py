@@ -101,7 +101,7 @@ def test_enrichment_keeps_errors_as_rows(spark):
 
     got = {r.report_id: r for r in enrichment.enrich(df, extract, [T.StructField("level", T.StringType())], 2).collect()}
     assert got["a"].level == "high" and got["a"]._error is None
-    assert got["b"].level is None and got["b"]._error == "ValueError: no answer"
+    assert got["b"].level is None and got["b"]._error == "extraction: ValueError: no answer"
     assert tuple(enrichment.error_count(spark.createDataFrame(list(got.values()))).first()) == (1, 2)
 
 

@@ -92,9 +92,16 @@ def report_id(source_id: Column, raw_path: Column, link: Column) -> Column:
     return F.concat(source_id, F.lit(":"), F.coalesce(own, last_path_segment(link), F.lit("")))
 
 
+def url_path(url: Column) -> Column:
+    """Path of an address, blank if it has none."""
+    return F.regexp_extract(url, r"^(?:[^:/?#]+:)?(?://[^/?#]*)?([^?#]*)", 1)
+
+
 def cache_file_name(url: Column, ext: str = "html") -> Column:
-    """Slug of at most 120 characters, a dash, and 12 hex digits of the address."""
-    slug = F.substring(dash_slug(F.regexp_replace(url, "^https?://", "")), 1, 120)
+    """Last path segment, every character but letters, digits, ``-`` and ``_`` a dash, cut to
+    120, then a dash and 12 hex digits of the address."""
+    segment = F.regexp_extract(F.regexp_replace(url_path(url), "/+$", ""), "[^/]*$", 0)
+    slug = F.substring(F.regexp_replace(segment, r"[^\p{L}\p{N}_-]", "-"), 1, 120)
     return F.concat(slug, F.lit("-"), F.substring(F.sha2(url, 256), 1, 12), F.lit(f".{ext}"))
 
 
@@ -105,10 +112,9 @@ def query_file_name(url: Column, text: Column) -> Column:
 
 
 def allowed_url(url: Column, host: str, path_prefix: str, https_only: bool = False) -> Column:
-    """Whether an address is of the host and below the path."""
-    ok = F.try_parse_url(url, F.lit("HOST")).isin(host, f"www.{host}") & F.startswith(
-        F.try_parse_url(url, F.lit("PATH")), F.lit(path_prefix)
-    )
+    """Whether an address is of exactly the host (with its port, if any) and below the path."""
+    place = F.regexp_extract(url, r"^(?:[^:/?#]+:)?//([^/?#]*)", 1)
+    ok = (place == host) & F.startswith(url_path(url), F.lit(path_prefix))
     if https_only:
-        ok = ok & (F.try_parse_url(url, F.lit("PROTOCOL")) == "https")
+        ok = ok & (F.lower(F.regexp_extract(url, r"^([^:/?#]+):", 1)) == "https")
     return F.coalesce(ok, F.lit(False))

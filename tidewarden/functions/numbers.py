@@ -8,10 +8,23 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Month names of long German dates, a fixed value.
-GERMAN_MONTHS = (
-    "Januar Februar März April Mai Juni Juli August September Oktober November Dezember".split()
-)
+#: Month names of long German dates and their numbers, fixed values.
+GERMAN_MONTHS = {
+    "Januar": 1,
+    "Februar": 2,
+    "März": 3,
+    "Maerz": 3,
+    "April": 4,
+    "Mai": 5,
+    "Juni": 6,
+    "Juli": 7,
+    "August": 8,
+    "September": 9,
+    "Oktober": 10,
+    "November": 11,
+    "Dezember": 12,
+}
+LONG_DATE = r"(\d{1,2})\s+([A-Za-zÄÖÜäöüß]+)\s+(\d{4})"
 
 
 def decimal(c: Column) -> Column:
@@ -36,24 +49,29 @@ def date_of(c: Column, *formats: str) -> Column:
 
 
 def german_date(c: Column) -> Column:
-    """Date such as ``26 Mai 2026`` or ``26. Mai 2026``; null for an unknown month."""
-    pattern = r"(\d{1,2})\.?\s+(\p{L}+)\s+(\d{4})"
-    names = F.array(*(F.lit(m) for m in GERMAN_MONTHS))
-    month = F.array_position(names, F.regexp_extract(c, pattern, 2))
-    return F.when(
-        month > 0,
-        F.try_to_date(
-            F.concat_ws(
-                "-",
-                F.regexp_extract(c, pattern, 3),
-                F.lpad(month.cast("string"), 2, "0"),
-                F.lpad(F.regexp_extract(c, pattern, 1), 2, "0"),
-            ),
-            "yyyy-MM-dd",
+    """Date such as ``26 Mai 2026``; null for an unknown month, see ``unknown_month``."""
+    return F.try_to_date(
+        F.concat_ws(
+            "-",
+            F.regexp_extract(c, LONG_DATE, 3),
+            F.lpad(_month_number(c).cast("string"), 2, "0"),
+            F.lpad(F.regexp_extract(c, LONG_DATE, 1), 2, "0"),
         ),
+        "yyyy-MM-dd",
     )
 
 
+def unknown_month(c: Column) -> Column:
+    """The month's name in a long date if no month is called so; a parse error of its row."""
+    name = F.nullif(F.regexp_extract(c, LONG_DATE, 2), F.lit(""))
+    return F.when(_month_number(c).isNull(), name)
+
+
+def _month_number(c: Column) -> Column:
+    table = F.create_map(*(F.lit(x) for pair in GERMAN_MONTHS.items() for x in pair))
+    return F.try_element_at(table, F.regexp_extract(c, LONG_DATE, 2))
+
+
 def utc_time(c: Column) -> Column:
     """Timestamp of ISO text; without a zone it is UTC, the session's zone."""
     return F.try_to_timestamp(c)

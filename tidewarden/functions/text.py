@@ -212,7 +212,9 @@ def strip_label(c: Column, *labels: str) -> Column:
 
 def unfence(c: Column) -> Column:
     """Text inside a fenced code block, or the text itself."""
-    return F.trim(F.regexp_replace(F.trim(c), r"(?s)^```[a-zA-Z]*\s*|\s*```$", ""))
+    ends = r"^\s+|\s+\z"
+    inner = F.regexp_replace(F.regexp_replace(c, ends, ""), r"(?s)^```[a-zA-Z]*\s*|\s*```\z", "")
+    return F.regexp_replace(inner, ends, "")
 
 
 def display_time(c: Column) -> Column:

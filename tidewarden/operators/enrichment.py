@@ -36,8 +36,10 @@ def enrich(
 ) -> DataFrame:
     """Reports with the extractor's whitelisted fields and ``_error``.
 
-    An extractor is any callable; one that raises leaves the record as it was and its
-    message in ``_error``. ``parallel`` bounds how many run at once.
+    An extractor is any callable; one that raises, or answers with anything but an object,
+    leaves the record as it was and its message in ``_error``. ``parallel`` bounds how many run
+    at once. Of records with one key the first in order of their JSON is asked about, once, and
+    its answer goes to all of them; null is a key, too.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -45,18 +47,21 @@ def enrich(
             answers, errors = [], []
             for record in batch["__record"]:
                 try:
-                    answers.append(json.dumps(extractor(json.loads(record)), default=str))
+                    answer = extractor(json.loads(record))
+                    if not isinstance(answer, dict):
+                        raise TypeError("extractor must return a JSON object")
+                    answers.append(json.dumps(answer, default=str))
                     errors.append(None)
                 except Exception as problem:  # a record's failure is its own
                     answers.append("{}")
-                    errors.append(f"{type(problem).__name__}: {problem}")
-            yield pd.DataFrame({key: batch[key], "__answer": answers, "_error": errors})
+                    errors.append(f"extraction: {type(problem).__name__}: {problem}")
+            yield pd.DataFrame({"__key": batch["__key"], "__answer": answers, "_error": errors})
 
-    once = reports.dropDuplicates([key])
-    sent = once.select(key, text.json_text(F.struct(*once.columns)).alias("__record"))
+    record = text.json_text(F.struct(*reports.columns))
+    sent = reports.groupBy(F.col(key).alias("__key")).agg(F.min(record).alias("__record"))
     kind = reports.schema[key].dataType.simpleString()
-    answered = sent.repartition(parallel).mapInPandas(run, f"{key} {kind}, __answer string, _error string")
-    joined = once.drop("_error").join(answered, key)
+    answered = sent.repartition(parallel).mapInPandas(run, f"__key {kind}, __answer string, _error string")
+    joined = reports.drop("_error").join(answered, F.col(key).eqNullSafe(F.col("__key"))).drop("__key")
     return incremental.overlay(joined, "__answer", fields)
 
 

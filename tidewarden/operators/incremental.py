@@ -28,7 +28,9 @@ def duplicated(df: DataFrame, columns: Sequence[str], order: Sequence[Column]) -
 
 def merge_manifest(found: DataFrame, existing: DataFrame, fetched: Sequence[str] = FETCH_COLUMNS) -> DataFrame:
     """Discovered rows, with what was fetched for an unchanged ``last_modified``, and the
-    existing rows that were not discovered again."""
+    existing rows that were not discovered again; of existing rows of one link the latest."""
+    latest = [F.col("last_modified").desc_nulls_last(), *(F.col(c).desc_nulls_last() for c in fetched)]
+    existing = first_of(existing, ["source_link"], latest)
     old = existing.select(
         F.col("source_link").alias("__link"),
         F.col("last_modified").alias("__modified"),
@@ -44,12 +46,12 @@ def merge_manifest(found: DataFrame, existing: DataFrame, fetched: Sequence[str]
 
 
 def fill_known(rows: DataFrame, *others: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
-    """Rows whose blank columns take the first known value of the other tables."""
+    """Rows whose blank columns take the first known value of the other tables; of values that
+    one of them has for a key the last in order."""
     out = rows
     for i, other in enumerate(others):
-        named = other.select(
-            F.col(key).alias(f"__key{i}"), *(F.col(c).alias(f"__{c}{i}") for c in columns)
-        )
+        known = [F.max(F.nullif(F.trim(F.col(c)), F.lit(""))).alias(f"__{c}{i}") for c in columns]
+        named = other.groupBy(F.col(key).alias(f"__key{i}")).agg(*known)
         out = out.join(named, F.col(key) == F.col(f"__key{i}"), "left").drop(f"__key{i}")
     known = [
         F.coalesce(

@@ -28,6 +28,14 @@ def peers(events: DataFrame, key: str = "situation_key") -> DataFrame:
     return events.select(key, "event_id").join(other, key).select("event_id", "peer_id")
 
 
+def peer_counts(events: DataFrame, key: str = "situation_key") -> DataFrame:
+    """(event_id, n_peers, last_peer): how many events share the situation and the last of them,
+    from one row for each situation instead of the pairs."""
+    known = events.where(F.col(key).isNotNull())
+    found = known.groupBy(key).agg(F.count("*").alias("n_peers"), F.max("event_id").alias("last_peer"))
+    return known.select(key, "event_id").join(found, key).select("event_id", "n_peers", "last_peer")
+
+
 def nearest(points: DataFrame, waypoints: Sequence[tuple[float, float]], t: str = "t") -> DataFrame:
     """Points with ``waypoint`` and ``waypoint_value``: the one nearest in t, the first of ties."""
     table = F.array(

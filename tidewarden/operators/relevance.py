@@ -44,11 +44,12 @@ MEASURES = (
     ("Handel", "Handel"),
     ("Export", "Export"),
 )
+# Patterns of disease names, the first that fits holds.
 DISEASES = (
-    (r"HPAI|Vogelgrippe|Gefl(?:ü|ue)gelpest|Avi(?:ä|a)re? Influenza|Avian Influenza", "HPAI"),
+    (r"Vogelgrippe|Geflügelpest|Gefluegelpest|HPAI|Aviäre Influenza", "HPAI"),
     (r"Newcastle", "Newcastle Disease"),
     (r"Afrikanische Schweinepest|\bASP\b", "ASP"),
-    (r"Lumpy Skin Disease", "LSD"),
+    (r"Lumpy Skin Disease|\bLSD\b", "LSD"),
 )
 
 
@@ -127,16 +128,49 @@ def assess(articles: DataFrame, body: Column, link: str = "source_link", rules:
     )
 
 
-def extract_reports(articles: DataFrame, body: Column, rules: Rules = Rules()) -> DataFrame:
+#: What a report keeps of its article, and as what.
+ARTICLE_FIELDS = {
+    "source_id": "source_id",
+    "source_name": "source_name",
+    "title": "source_document_title",
+    "source_link": "source_link",
+    "publication_date": "source_publication_date",
+    "retrieved_at": "source_retrieved_at",
+    "fulltext": "fulltext",
+    "raw_html_path": "raw_html_path",
+    "content_hash": "content_hash",
+}
+
+
+def report_text() -> Column:
+    """What rules for reports read: title, description and full text, a line each."""
+    return F.concat(
+        "title", F.lit("\n"), F.coalesce("description", F.lit("")), F.lit("\n"), "fulltext"
+    )
+
+
+def extract_reports(
+    articles: DataFrame, body: Column, rules: Rules = Rules(), text_of: Column | None = None
+) -> DataFrame:
     """Report records of relevant articles (source_id, source_link, raw_html_path,
-    publication_date, ...)."""
-    found = assess(articles.withColumn("__text", body), F.col("__text"), rules=rules).where("is_relevant")
-    full = F.col("__text")
+    publication_date, ...); what an article lacks is null.
+
+    Terms are looked for in ``body``; subtype and measures in ``text_of``, by default the same.
+    """
+    full = body if text_of is None else text_of
+    found = assess(articles.withColumns({"__text": body, "__full": full}), F.col("__text"), rules=rules)
+    found = found.where("is_relevant")
+    full = F.col("__full")
+    report = keys.report_id(F.col("source_id"), F.col("raw_html_path"), F.col("source_link"))
+    kept = [
+        (F.col(c) if c in found.columns else F.lit(None).cast("string")).alias(name)
+        for c, name in ARTICLE_FIELDS.items()
+    ]
     return found.select(
-        keys.report_id(F.col("source_id"), F.col("raw_html_path"), F.col("source_link")).alias("report_id"),
-        "source_id",
-        "source_link",
-        "publication_date",
+        report.alias("report_id"),
+        *kept,
+        F.concat(F.lit("source_document:"), report).alias("source_document_id"),
+        F.lit("candidate").alias("extraction_status"),
         F.lit("rules").alias("extraction_method"),
         F.lit(rules.version).alias("extraction_version"),
         numbers.confidence(F.col("relevance_score"), *rules.confidence).alias("extraction_confidence"),

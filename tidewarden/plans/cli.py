@@ -120,7 +120,8 @@ def export_final(args: argparse.Namespace, folder: Folder) -> bool:
         return False
     files.n_triples(as_set(emit.report_triples(reports)), f"{folder.path}/export/triples")
     files.csv(reports, f"{folder.path}/export/reports_csv", list(exports.REPORT_COLUMNS))
-    files.csv(files.frontend_rows(reports), f"{folder.path}/export/frontend_csv", list(files.FRONTEND_COLUMNS))
+    path = files.frontend_path(f"{folder.path}/export/reports_csv")
+    files.csv(files.frontend_rows(reports, ["source_id", "report_id"]), path, list(files.FRONTEND_COLUMNS))
     return True
 
 

@@ -226,10 +226,15 @@ def default_date_range(spark, sf_dir):
 
 @query(
     "cache_names",
-    r"""SELECT page_id, substr(trim(regexp_replace(lower(regexp_replace(url, '^https?://', '')), '[^a-z0-9]+', '-', 'g'), '-'), 1, 120) || '-' || substr(sha256(url), 1, 12) || '.html' AS name FROM pages""",
+    r"""WITH p AS (SELECT page_id, url AS u FROM pages UNION ALL SELECT page_id, regexp_replace(url, '[?#].*$', '') || '/Seuchen_Lage: Äpfel.' || page_id || '//?x=/y' FROM pages),
+    s AS (SELECT page_id, u, regexp_extract(rtrim(regexp_extract(u, '^[^:]+://[^/?#]*([^?#]*)', 1), '/'), '[^/]*$') AS segment FROM p)
+    SELECT page_id, substr(regexp_replace(segment, '[^\pL\pN_-]', '-', 'g'), 1, 120) || '-' || substr(sha256(u), 1, 12) || '.html' AS name FROM s""",
 )
 def cache_names(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", keys.cache_file_name(F.col("url")).alias("name"))
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    tail = F.concat(F.lit("/Seuchen_Lage: Äpfel."), F.col("page_id").cast("string"), F.lit("//?x=/y"))
+    more = pages.withColumn("url", F.concat(F.regexp_replace("url", "[?#].*$", ""), tail))
+    return pages.unionByName(more).select("page_id", keys.cache_file_name(F.col("url")).alias("name"))
 
 
 @query(

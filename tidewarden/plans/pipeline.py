@@ -41,6 +41,8 @@ def discover(found: DataFrame, existing: DataFrame | None = None) -> DataFrame:
 def parse(raw: DataFrame, source_id: str) -> tuple[DataFrame, DataFrame]:
     """(articles, parse errors) of raw pages (source_link, html)."""
     every = documents.articles(raw).withColumn("source_id", F.lit(source_id))
+    month = numbers.unknown_month(F.col("date_text"))
+    every = every.withColumn("error", F.coalesce("error", F.concat(F.lit("unknown month: "), month)))
     good = every.where("error is null").drop("error")
     articles = good.withColumn("publication_date", numbers.german_date(F.col("date_text"))).withColumn(
         "raw_html_path", keys.cache_file_name(F.col("source_link"))
@@ -63,7 +65,7 @@ def filter_disease(articles: DataFrame, rules: relevance.Rules = relevance.Rules
 
 
 def extract(articles: DataFrame, rules: relevance.Rules = relevance.Rules()) -> DataFrame:
-    return relevance.extract_reports(articles, body_of(), rules)
+    return relevance.extract_reports(articles, body_of(), rules, relevance.report_text())
 
 
 def run(
@@ -101,5 +103,6 @@ def run_all(spark: SparkSession, stages: Stages, folder: str) -> int:
         return 1
     files.n_triples(stages.triples, f"{folder}/triples")
     files.csv(enriched, f"{folder}/reports_csv", sorted(enriched.columns))
-    files.csv(files.frontend_rows(enriched), f"{folder}/frontend_csv", list(files.FRONTEND_COLUMNS))
+    path = files.frontend_path(f"{folder}/reports_csv")
+    files.csv(files.frontend_rows(enriched, ["source_id", "report_id"]), path, list(files.FRONTEND_COLUMNS))
     return 0

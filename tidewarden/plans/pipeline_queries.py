@@ -175,47 +175,59 @@ def situation_event_counts(spark, sf_dir):
     FROM keyed a JOIN keyed b ON a.situation_key = b.situation_key GROUP BY 1""",
 )
 def peer_self_join(spark, sf_dir):
-    pairs = joins.peers(keyed_cases(spark, sf_dir))
-    return pairs.groupBy("event_id").agg(F.count("*").alias("n_peers"), F.max("peer_id").alias("last_peer"))
+    return joins.peer_counts(keyed_cases(spark, sf_dir))
 
 
 @query(
     "orphan_checks",
-    f"""WITH {SITUATION_SQL}, s AS (SELECT DISTINCT situation_key FROM keyed WHERE event_id % 3 = 0), e AS (SELECT * FROM keyed WHERE event_id % 5 <> 0)
+    f"""WITH {SITUATION_SQL}, s AS (SELECT DISTINCT CASE WHEN event_id % 3 = 0 THEN situation_key ELSE disease || '|' || event_id % 5 END AS situation_key FROM keyed),
+    e AS (SELECT CASE WHEN event_id % 5 <> 0 THEN situation_key ELSE situation_key || '|' || event_id % 10 END AS situation_key FROM keyed)
     SELECT 'orphan_events' AS kind, CAST(count(*) AS BIGINT) AS n FROM e WHERE situation_key NOT IN (SELECT situation_key FROM s)
     UNION ALL SELECT 'orphan_situations', CAST(count(*) AS BIGINT) FROM s WHERE situation_key NOT IN (SELECT situation_key FROM e)
     UNION ALL SELECT 'multi_links', 0""",
 )
 def orphan_checks(spark, sf_dir):
     every = keyed_cases(spark, sf_dir)
-    situations = every.where("event_id % 3 = 0").select("situation_key").distinct()
-    found = joins.orphans(every.where("event_id % 5 <> 0"), situations)
+    # Two thirds of the situations and a fifth of the events have other keys.
+    i, key = F.col("event_id"), F.col("situation_key")
+    other = F.concat_ws("|", "disease", (i % 5).cast("string"))
+    situations = every.select(F.when(i % 3 == 0, key).otherwise(F.when(F.col("disease").isNotNull(), other)).alias("situation_key"))
+    moved = F.when(i % 5 != 0, key).otherwise(F.concat(key, F.lit("|"), (i % 10).cast("string")))
+    found = joins.orphans(every.withColumn("situation_key", moved), situations.where("situation_key is not null").distinct())
     parts = [df.agg(F.count("*").alias("n")).select(F.lit(k).alias("kind"), "n") for k, df in found.items()]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-MANIFEST_SQL = """f AS (SELECT url AS source_link, page_id % 4 AS last_modified FROM pages WHERE page_id % 3 <> 0),
-    x AS (SELECT url AS source_link, CASE WHEN page_id % 5 = 0 THEN 9 ELSE page_id % 4 END AS last_modified, 'raw-' || page_id AS raw_html_path
-      FROM pages WHERE page_id % 2 = 0)"""
+MANIFEST_SQL = """f AS (SELECT CASE WHEN page_id % 3 = 0 THEN url || '#new' || page_id ELSE url END AS source_link, page_id % 4 AS last_modified FROM pages),
+    x AS (SELECT CASE WHEN page_id % 2 = 0 THEN url ELSE url || '#old' || page_id END AS source_link, CASE WHEN page_id % 5 = 0 THEN 9 ELSE page_id % 4 END AS last_modified,
+      'raw-' || page_id AS raw_html_path FROM pages UNION ALL SELECT url, -1, 'stale-' || page_id FROM pages WHERE page_id % 2 = 0),
+    l AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY source_link ORDER BY last_modified DESC, raw_html_path DESC) = 1)"""
 
 
 def manifests(spark, sf_dir):
     p = spark.read.parquet(f"{sf_dir}/pages.parquet")
     i = F.col("page_id")
-    found = p.where(i % 3 != 0).select(F.col("url").alias("source_link"), (i % 4).alias("last_modified"))
-    old = p.where(i % 2 == 0).select(
-        F.col("url").alias("source_link"),
+    url, number = F.col("url"), i.cast("string")
+    # A third was not known before, half is not found again, and the other half has a stale row, too.
+    found = p.select(
+        F.when(i % 3 == 0, F.concat(url, F.lit("#new"), number)).otherwise(url).alias("source_link"), (i % 4).alias("last_modified")
+    )
+    old = p.select(
+        F.when(i % 2 == 0, url).otherwise(F.concat(url, F.lit("#old"), number)).alias("source_link"),
         F.when(i % 5 == 0, 9).otherwise(i % 4).alias("last_modified"),
-        F.concat(F.lit("raw-"), i.cast("string")).alias("raw_html_path"),
+        F.concat(F.lit("raw-"), number).alias("raw_html_path"),
+    )
+    stale = p.where(i % 2 == 0).select(
+        url.alias("source_link"), F.lit(-1).cast("bigint").alias("last_modified"), F.concat(F.lit("stale-"), number).alias("raw_html_path")
     )
-    return found, old
+    return found, old.unionByName(stale)
 
 
 @query(
     "manifest_merge",
     f"""WITH {MANIFEST_SQL} SELECT f.source_link, f.last_modified, CASE WHEN f.last_modified = x.last_modified THEN raw_html_path END AS raw_html_path
-    FROM f LEFT JOIN x ON f.source_link = x.source_link
-    UNION ALL SELECT source_link, last_modified, raw_html_path FROM x WHERE source_link NOT IN (SELECT source_link FROM f)""",
+    FROM f LEFT JOIN l AS x ON f.source_link = x.source_link
+    UNION ALL SELECT source_link, last_modified, raw_html_path FROM l WHERE source_link NOT IN (SELECT source_link FROM f)""",
 )
 def manifest_merge(spark, sf_dir):
     found, old = manifests(spark, sf_dir)
@@ -225,7 +237,7 @@ def manifest_merge(spark, sf_dir):
 @query(
     "cached_metadata_fill",
     f"""WITH {MANIFEST_SQL}, r AS (SELECT source_link, CASE WHEN last_modified = 1 THEN ' ' END AS raw_html_path FROM f)
-    SELECT r.source_link, x.raw_html_path FROM r LEFT JOIN x ON r.source_link = x.source_link""",
+    SELECT r.source_link, x.raw_html_path FROM r LEFT JOIN (SELECT source_link, max(raw_html_path) AS raw_html_path FROM x GROUP BY 1) AS x ON r.source_link = x.source_link""",
 )
 def cached_metadata_fill(spark, sf_dir):
     found, old = manifests(spark, sf_dir)
@@ -343,17 +355,16 @@ def number_parsing(spark, sf_dir):
 
 @query(
     "url_parts",
-    r"""SELECT page_id, regexp_extract(url, '([^/]+?)/*(\?[^#]*)?(#.*)?$', 1) AS segment, regexp_matches(url, '^https://[^/]*example\.com/en/') AS allowed
+    r"""SELECT page_id, regexp_extract(url, '([^/]+?)/*(\?[^#]*)?(#.*)?$', 1) AS segment, regexp_matches(regexp_replace(url, '://[^/?#]*', CASE WHEN page_id % 2 = 0 THEN '://www.example.org' ELSE '://example.org' END), '^https://example\.org/(en|fr)/') AS allowed
     FROM pages""",
 )
 def url_parts(spark, sf_dir):
     url = F.col("url")
-    host = F.try_parse_url(url, F.lit("HOST"))
-    allowed = host.endswith("example.com") & (F.try_parse_url(url, F.lit("PROTOCOL")) == "https") & F.startswith(
-        F.try_parse_url(url, F.lit("PATH")), F.lit("/en/")
-    )
+    host = F.when(F.col("page_id") % 2 == 0, "://www.example.org").otherwise("://example.org")
+    moved = F.regexp_replace(url, F.lit("://[^/?#]*"), host)
+    allowed = [keys.allowed_url(moved, "example.org", path, https_only=True) for path in ("/en/", "/fr/")]
     return spark.read.parquet(f"{sf_dir}/pages.parquet").select(
-        "page_id", keys.last_path_segment(url).alias("segment"), F.coalesce(allowed, F.lit(False)).alias("allowed")
+        "page_id", keys.last_path_segment(url).alias("segment"), (allowed[0] | allowed[1]).alias("allowed")
     )
 
 

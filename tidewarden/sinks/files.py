@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,17 +15,36 @@ from tidewarden.operators.listing import numbered
 #: Columns of the frontend's report table, a fixed value.
 FRONTEND_COLUMNS = (
     "id",
-    "report_id",
-    "source_name",
-    "source_link",
+    "source",
     "title",
+    "url",
     "teaser",
+    "body",
     "report_date",
-    "disease",
-    "country",
-    "relevance",
-    "score",
+    "admin_level_1",
+    "admin_level_2",
+    "admin_level_3",
+    "relevance_score",
+    "relevance_score_string",
+    "distance_km",
+    "created_at",
+    "updated_at",
 )
+#: The columns of a report that these come from; the rest are numbers, dates and blanks.
+FRONTEND_SOURCES = {
+    "source": "source_id",
+    "title": "source_document_title",
+    "url": "source_link",
+    "teaser": "relevance_rationale",
+    "body": "fulltext",
+    "admin_level_1": "administrative_division_level_1",
+    "admin_level_2": "administrative_division_level_2",
+    "admin_level_3": "administrative_division_level_3",
+    "relevance_score": "rule_relevance_score",
+    "relevance_score_string": "relevance_level",
+    "created_at": "source_retrieved_at",
+    "updated_at": "source_retrieved_at",
+}
 
 
 def json_lines(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -36,28 +56,36 @@ def csv(df: DataFrame, path: str, columns: list[str], mode: str = "overwrite") -
     """The given columns as cells; those that the table lacks are blank."""
     kinds = {f.name: f.dataType for f in df.schema}
     cells = [text.cell(F.col(c), kinds[c]).alias(c) if c in kinds else F.lit("").alias(c) for c in columns]
-    df.select(*cells).write.mode(mode).option("header", True).option("emptyValue", "").csv(path)
-
-
-def frontend_rows(reports: DataFrame) -> DataFrame:
-    """Rows of the frontend's table: numbered from 1 by source and position."""
-    def col(name):
-        return F.col(name) if name in reports.columns else F.lit(None).cast("string")
-
-    rows = reports.select(
-        "source_id",
-        "report_id",
-        col("source_name").alias("source_name"),
-        col("source_link").alias("source_link"),
-        col("title").alias("title"),
-        col("relevance_rationale").alias("teaser"),
-        F.coalesce(col("publication_date").cast("string"), col("confirmation_date").cast("string")).alias("report_date"),
-        col("disease_name").alias("disease"),
-        col("country_or_territory").alias("country"),
-        col("relevance_level").alias("relevance"),
-        F.col("rule_relevance_score").alias("score"),
-    )
-    return numbered(rows, ["source_id", "report_id"]).select(*FRONTEND_COLUMNS)
+    df.select(*cells).write.mode(mode).options(header=True, emptyValue="", escape='"').csv(path)
+
+
+def frontend_rows(reports: DataFrame, order: Sequence[str] | None = None) -> DataFrame:
+    """Rows of the frontend's table as cells, numbered from 1 in the order of the records, or
+    in that of some columns. What a report lacks is a blank cell."""
+    kinds = {f.name: f.dataType for f in reports.schema}
+
+    def cell(name):
+        return text.cell(F.col(name), kinds[name]) if name in kinds else F.lit("")
+
+    dates = [F.nullif(cell(c), F.lit("")) for c in ("source_publication_date", "confirmation_date")]
+    cells = {
+        **{name: cell(c) for name, c in FRONTEND_SOURCES.items()},
+        "report_date": F.coalesce(*dates, F.lit("")),
+        "distance_km": F.lit(""),
+    }
+    if order is None:
+        reports, order = reports.withColumn("__order", F.monotonically_increasing_id()), ["__order"]
+    rows = reports.select(*(F.col(c).alias(f"__by{i}") for i, c in enumerate(order)), *(v.alias(k) for k, v in cells.items()))
+    rows = numbered(rows, [f"__by{i}" for i in range(len(order))])
+    return rows.withColumn("id", F.col("id").cast("string")).select(*FRONTEND_COLUMNS)
+
+
+def frontend_path(path: str) -> str:
+    """Where the frontend's rows of an export go: ``_mock_data_`` after the name's stem."""
+    folder, _, name = path.rpartition("/")
+    stem, dot, ext = name.rpartition(".")
+    name = f"{stem}_mock_data_.{ext}" if dot and stem else f"{name}_mock_data_"
+    return f"{folder}/{name}" if folder else name
 
 
 def n_triples(triples: DataFrame, path: str) -> None:

@@ -6,6 +6,7 @@ import os
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -93,9 +94,16 @@ def csv(spark: SparkSession, path: str, names: Sequence[str] | None = None, sep:
 
 
 def adis(spark: SparkSession, path: str) -> DataFrame:
-    """Notifications as text, each with its row_number from 1 in file order."""
-    rows = csv(spark, path, ADIS_COLUMNS)
-    return rows.withColumn("row_number", (F.monotonically_increasing_id() + 1).cast("bigint"))
+    """Notifications as text, each with its row_number from 1 in its file's order.
+
+    Such a file has cells with line breaks, so one task reads it whole, and ids within the
+    task that follow one another number its rows without gaps; files are numbered each from 1.
+    """
+    rows = csv(spark, path, ADIS_COLUMNS).withColumn("__file", F.input_file_name())
+    at = F.monotonically_increasing_id()
+    rows = rows.withColumn("__at", at)
+    first = F.min("__at").over(W.partitionBy("__file"))
+    return rows.withColumn("row_number", F.col("__at") - first + 1).drop("__file", "__at")
 
 
 def adis_typed(rows: DataFrame) -> DataFrame:

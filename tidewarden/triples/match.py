@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewarden.triples.model import A
@@ -42,12 +43,19 @@ def optional(solutions: DataFrame, triples: DataFrame, patterns: Sequence[Patter
 def optional_into(
     solutions: DataFrame, triples: DataFrame, subject: str, predicates: Sequence[str], name: str
 ) -> DataFrame:
-    """One variable bound by the first of several optional predicates that has a value."""
-    out = solutions
-    for i, p in enumerate(predicates):
-        out = optional(out, triples, [(f"?{subject}", p, f"?__{i}")])
-    bound = F.coalesce(*(F.col(f"__{i}") for i in range(len(predicates))))
-    return out.withColumn(name, bound).drop(*(f"__{i}" for i in range(len(predicates))))
+    """One variable bound by the first of several optional predicates that has a value.
+
+    Once it is bound, a later pattern can only match the same value, which adds nothing; so a
+    subject meets the values of its first predicate alone, each once.
+    """
+    found = triples.where(F.col("p").isin(*predicates)).select(
+        F.col("s").alias("__subject"),
+        F.array_position(F.array(*map(F.lit, predicates)), F.col("p")).alias("__at"),
+        F.col("o").alias(name),
+    )
+    first = F.min("__at").over(W.partitionBy("__subject"))
+    found = found.withColumn("__first", first).where("__at = __first").select("__subject", name).distinct()
+    return solutions.join(found, F.col(subject) == F.col("__subject"), "left").drop("__subject")
 
 
 def path(triples: DataFrame, subject: str, steps: Sequence[str], end: str) -> DataFrame:
