@@ -105,6 +105,23 @@ def test_classifier_held_out(spark):
     assert sum(r.kept == bool(truth[r.doc_id]) for r in held) / len(held) > 0.97
 
 
+def test_sums_over_all_unlabelled_documents(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(3000, sum(quality_classifier.DIMS))).astype(np.float32)
+    w = [[rng.normal(size=d) for d in quality_classifier.DIMS] for _ in (0, 1)]
+    pool = spark.createDataFrame([(r.tobytes(),) for r in x], "x binary").repartition(7)
+    got = quality_classifier.sure_sums(pool, *w)
+    views = quality_classifier.VIEWS
+    for v, other in ((0, 1), (1, 0)):
+        chance = quality_classifier.sigmoid(x[:, views[other]] @ w[0][other])
+        for label, sure in enumerate((chance <= 1 - quality_classifier.SURE, chance >= quality_classifier.SURE)):
+            z = x[sure][:, views[v]].astype(float)
+            p = quality_classifier.sigmoid(z @ w[1][v])
+            n, gradient, curve = got[v][label]
+            assert n == sure.sum() > 100
+            assert np.allclose(gradient, z.T @ (p - label)) and np.allclose(curve, (z.T * (p * (1 - p))) @ z)
+
+
 # 3
 
 

@@ -2,17 +2,21 @@
 
 The text view sees words (hashed) and character statistics; the metadata view sees source,
 language, length and line layout. Each view is a ridge logistic regression. They start from
-labelled documents; round by round, each view labels the unlabelled pool where it is sure,
-and those pseudo-labels train the other view. Held-out labels then calibrate each view's
-log-odds, and the calibrated views are added up to score all documents.
-
-Training reads at most ``MAX_LABELLED`` labelled and ``MAX_POOL`` unlabelled documents, those
-first in order of a keyed hash of doc_id: the bounds are the only sampling. Scoring reads
-every document whole.
+labelled documents; round by round, each view labels all unlabelled documents where it is
+sure, and those pseudo-labels train the other view. Held-out labels then calibrate each
+view's log-odds, and the calibrated views are added up to score all documents.
+
+Both views' vectors of every document are written to the shared folder once (0.6 KB a
+document). A Newton step of the students is one pass over the unlabelled ones: tasks add up
+the gradients and curvatures of the documents that the teachers are sure of, by view and
+class, and sums of fixed size are added in order of partitions, so reruns agree. However many
+pseudo-labels a class has, together they weigh at most as its share of the labelled
+documents does. Labelled documents are at most ``MAX_LABELLED``, the first in order of a keyed
+hash of doc_id: the only sample.
 
 Defined cases: null text has no words; null metadata is a category of its own; labels
 without a document, or null, are skipped; a document with contrary labels counts as its
-mean, half rounds up; without both classes of labels every document gets the mean of the
+mean, half rounds up; of labelled rows that repeat a doc_id one stands for it; without both classes of labels every document gets the mean of the
 labels (0.5 if none) as its score; repeated rows each get their score; an empty table gives
 an empty result; extra columns are ignored; a score of exactly ``KEEP`` is kept.
 """
@@ -20,22 +24,23 @@ an empty result; extra columns are ignored; a score of exactly ``KEEP`` is kept.
 from __future__ import annotations
 
 import zlib
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewarden.llm.shared import map_arrow
+from tidewarden.llm.shared import BROADCAST_BYTES, map_arrow, sized, written
 
 MAX_LABELLED = 8_000
-MAX_POOL = 8_000
 ROUNDS = 4
+#: Newton steps of a round.
+STEPS = 2
 #: A view is sure of a document at this chance or more, of either class.
 SURE = 0.95
-#: Documents that a view labels for the other in a round, at most, classes in proportion.
-EXCHANGE = 1_000
 KEEP = 0.5
 SEED = 5
 BUCKETS = 96
@@ -43,6 +48,9 @@ STATS = 12
 LANGS, SOURCES, LAYOUT = 8, 32, 7
 TEXT_DIM = BUCKETS + STATS + 1
 META_DIM = LANGS + SOURCES + LAYOUT + 1
+#: Where each view's columns stand in a document's vector, and how many they are.
+VIEWS = (slice(0, TEXT_DIM), slice(TEXT_DIM, TEXT_DIM + META_DIM))
+DIMS = (TEXT_DIM, META_DIM)
 #: Words whose buckets a worker remembers.
 WORDS = 200_000
 
@@ -112,10 +120,8 @@ class Features:
         return out
 
 
-def vectors(docs: DataFrame, model: Model | None = None) -> DataFrame:
-    """(doc_id, view vectors as float32 bytes), or with a model (doc_id, both chances, score)."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
+def vectors(docs: DataFrame) -> DataFrame:
+    """(doc_id, x): the vectors of both views, one after the other, as float32 bytes."""
     docs = docs.select(
         "doc_id",
         F.col("source").cast("string").alias("source"),
@@ -128,21 +134,20 @@ def vectors(docs: DataFrame, model: Model | None = None) -> DataFrame:
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = zip(*(batch.column(c).to_pylist() for c in ("source", "lang", "n_chars", "text")))
-        texts, metas = [], []
-        for source, lang, size, text in rows:
-            texts.append(features.text(text))
-            metas.append(features.meta(source, lang, size, text))
-        own = batch.column("doc_id")
-        if shared.value is None:
-            joined = [np.concatenate(x).tobytes() for x in zip(texts, metas, strict=True)]
-            return pa.RecordBatch.from_arrays([own, pa.array(joined, pa.binary())], ["doc_id", "x"])
-        a = np.stack(texts) if texts else np.zeros((0, TEXT_DIM))
-        b = np.stack(metas) if metas else np.zeros((0, META_DIM))
-        found = [pa.array(c.astype(np.float64)) for c in shared.value.chances(a, b)]
-        return pa.RecordBatch.from_arrays([own, *found], ["doc_id", "p_text", "p_meta", "score"])
-
-    columns = "x binary" if model is None else "p_text double, p_meta double, score double"
-    return map_arrow(docs, each, f"doc_id {kind}, {columns}")
+        found = [
+            np.concatenate([features.text(text), features.meta(source, lang, size, text)]).tobytes()
+            for source, lang, size, text in rows
+        ]
+        return pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), pa.array(found, pa.binary())], ["doc_id", "x"]
+        )
+
+    return map_arrow(docs, each, f"doc_id {kind}, x binary")
+
+
+def matrix(column: pa.Array) -> np.ndarray:
+    """Vectors of a batch, a row each."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.float32).reshape(-1, sum(DIMS))
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:
@@ -188,8 +193,92 @@ def constant(chance: float) -> Model:
     return Model(*nothing, np.array([0, prior, 0, prior]), prior)
 
 
-def co_train(x: np.ndarray, y: np.ndarray, pool: np.ndarray) -> Model:
-    """Fit both views to labelled vectors ``x`` and the unlabelled ``pool``."""
+#: For each view and class (0, 1): how many are sure, and their gradient and curvature.
+Sums = list[list[tuple[float, np.ndarray, np.ndarray]]]
+
+
+def sure_sums(pool: DataFrame, teachers: list[np.ndarray], students: list[np.ndarray]) -> Sums:
+    """What each view's Newton step needs of the unlabelled documents (x) that the other is
+    sure of."""
+    spark = pool.sparkSession
+    shared = spark.sparkContext.broadcast((teachers, students))
+    sizes = [1 + d + d * d for d in DIMS for _ in (0, 1)]
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        teach, learn = shared.value
+        total = np.zeros(sum(sizes))
+        for batch in batches:
+            x = matrix(batch.column("x"))
+            parts = []
+            for v, other in ((0, 1), (1, 0)):
+                chance = sigmoid(x[:, VIEWS[other]] @ teach[other])
+                for sure, label in ((chance <= 1 - SURE, 0), (chance >= SURE, 1)):
+                    z = x[sure][:, VIEWS[v]].astype(np.float64)
+                    p = sigmoid(z @ learn[v])
+                    curve = (z.T * (p * (1 - p))) @ z
+                    parts += [[float(sure.sum())], z.T @ (p - label), curve.ravel()]
+            total += np.concatenate(parts)
+        yield row(TaskContext.get().partitionId(), total)
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, total = None, np.zeros(sum(sizes))
+        for batch in batches:
+            for part, sums in zip(batch.column("part").to_pylist(), batch.column("sums").to_pylist()):
+                first = part if first is None else first
+                total += np.frombuffer(sums)
+        if first is not None:
+            yield row(first, total)
+
+    def row(part: int, total: np.ndarray) -> pa.RecordBatch:
+        columns = [pa.array([part], pa.int32()), pa.array([total.tobytes()], pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, ["part", "sums"])
+
+    # Sums of about the square root of the partitions each, and as many of them to the driver.
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    groups = max(1, round(parts**0.5))
+    found = (
+        pool.select("x")
+        .mapInArrow(add, "part int, sums binary")
+        .repartition(groups, F.col("part") % groups)
+        .sortWithinPartitions("part")
+        .mapInArrow(join, "part int, sums binary")
+        .collect()
+    )
+    total = np.zeros(sum(sizes))
+    for r in sorted(found, key=lambda r: r["part"]):
+        total += np.frombuffer(r["sums"])
+    pieces = np.split(total, np.cumsum(sizes)[:-1])
+    return [
+        [
+            (float(one[0]), one[1 : 1 + d], one[1 + d :].reshape(d, d))
+            for one in pieces[2 * v : 2 * v + 2]
+        ]
+        for v, d in enumerate(DIMS)
+    ]
+
+
+def newton(
+    x: np.ndarray, y: np.ndarray, w: np.ndarray, more: list, share: float, weight: float, ridge: float = 1.0
+) -> np.ndarray:
+    """Weights after a step for labelled vectors and the sums of pseudo-labels, which weigh
+    ``weight`` documents at most, classes in proportion."""
+    x = x.astype(np.float64)
+    p = sigmoid(x @ w)
+    slope = x.T @ (p - y) + ridge * w
+    curve = (x.T * (p * (1 - p) + 1e-6)) @ x + ridge * np.eye(len(w))
+    for (n, gradient, curvature), part in zip(more, (1 - share, share), strict=True):
+        if n:
+            each = min(1.0, weight * part / n)
+            slope, curve = slope + each * gradient, curve + each * curvature
+    step = np.linalg.solve(curve, slope)
+    return w - step * min(1.0, 5 / max(np.abs(step).max(), 1e-12))
+
+
+def co_train(
+    x: np.ndarray, y: np.ndarray, sums: Callable[[list[np.ndarray], list[np.ndarray]], Sums]
+) -> Model:
+    """Fit both views to labelled vectors and, through ``sums`` (of teachers and students), to
+    the unlabelled documents."""
     if len(y) < 10 or y.min() == y.max():
         return constant(float(y.mean()) if len(y) else 0.5)
     share = float(y.mean())
@@ -200,68 +289,77 @@ def co_train(x: np.ndarray, y: np.ndarray, pool: np.ndarray) -> Model:
         held[rows[: max(1, len(rows) // 5)]] = True
     if y[~held].min() == y[~held].max():
         held[:] = False
-    cut = [slice(0, TEXT_DIM), slice(TEXT_DIM, None)]
-    fit_x = [[x[~held][:, c]] for c in cut]
-    fit_y = [[y[~held]] for _ in cut]
-    free = [np.ones(len(pool), bool) for _ in cut]  # of the pool, not yet taught to a view
-    weights = [np.zeros(0)] * 2
-    for turn in range(ROUNDS + 1):
-        weights = [
-            logistic(np.concatenate(fit_x[v]), np.concatenate(fit_y[v])) for v in (0, 1)
-        ]
-        if turn == ROUNDS or not len(pool):
-            break
-        for v, other in ((0, 1), (1, 0)):
-            p = sigmoid(pool[:, cut[v]] @ weights[v])
-            for label, chance, most in ((1, p, share), (0, 1 - p, 1 - share)):
-                sure = np.flatnonzero(free[other] & (chance >= SURE))
-                best = sure[np.argsort(-chance[sure], kind="stable")][: round(EXCHANGE * most)]
-                free[other][best] = False
-                fit_x[other].append(pool[best][:, cut[other]])
-                fit_y[other].append(np.full(len(best), float(label)))
+    own, own_y = x[~held], y[~held]
+    weights = [logistic(own[:, c], own_y) for c in VIEWS]
+    for turn in range(ROUNDS):
+        teachers = weights
+        weight = len(own_y) * (turn + 1) / ROUNDS
+        for _ in range(STEPS):
+            more = sums(teachers, weights)
+            weights = [
+                newton(own[:, c], own_y, w, m, share, weight)
+                for c, w, m in zip(VIEWS, weights, more, strict=True)
+            ]
     rows = held if held.any() else np.ones(len(y), bool)
     scale = []
-    for v in (0, 1):
-        z = x[rows][:, cut[v]] @ weights[v]
+    for c, w in zip(VIEWS, weights, strict=True):
+        z = x[rows][:, c] @ w
         shift = logistic(np.stack([z, np.ones(len(z))], axis=1), y[rows], 0.1)
         scale += [max(float(shift[0]), 0.0), float(shift[1])]
     model = Model(weights[0], weights[1], np.array(scale), float(np.log(share / (1 - share))))
-    score = model.chances(x[rows][:, cut[0]], x[rows][:, cut[1]])[2]
+    score = model.chances(x[rows][:, VIEWS[0]], x[rows][:, VIEWS[1]])[2]
     model.held_out = float(((score >= KEEP) == (y[rows] == 1)).mean())
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    """A model of ``docs`` with ``labels`` (doc_id, quality)."""
+def fit(made: DataFrame, labels: DataFrame) -> Model:
+    """A model of written ``vectors`` with ``labels`` (doc_id, quality)."""
     order = F.xxhash64(F.lit(SEED), "doc_id")
-    known = (
+    known = written(
         labels.where("doc_id is not null and quality is not null")
         .groupBy("doc_id")
-        .agg(F.floor(F.avg("quality") + 0.5).cast("double").alias("y"))
+        .agg(F.floor(F.avg("quality") + 0.5).cast("double").alias("y")),
+        "quality-labels",
     )
-    ids = docs.select("doc_id").where("doc_id is not null").distinct()
-    some = known.join(ids, "doc_id", "left_semi").orderBy(order, "doc_id").limit(MAX_LABELLED)
-    pool = ids.join(known, "doc_id", "left_anti").orderBy(order, "doc_id").limit(MAX_POOL)
-    chosen = some.select("doc_id", "y").unionByName(
-        pool.select("doc_id", F.lit(None).cast("double").alias("y"))
+    some = (
+        known.join(made.select("doc_id"), "doc_id", "left_semi")
+        .orderBy(order, "doc_id")
+        .limit(MAX_LABELLED)
+    )
+    # At most MAX_LABELLED rows of two numbers, and as many vectors: one for each doc_id.
+    y_of = {r["doc_id"]: r["y"] for r in some.collect()}
+    kind = made.schema["doc_id"].dataType
+    keys = made.sparkSession.createDataFrame([(k,) for k in y_of], f"doc_id {kind.simpleString()}")
+    rows = (
+        made.join(F.broadcast(keys), "doc_id", "left_semi")
+        .groupBy("doc_id")
+        .agg(F.min("x").alias("x"))
+        .collect()
     )
-    # At most MAX_LABELLED + MAX_POOL rows of two numbers.
-    y_of = {r["doc_id"]: r["y"] for r in chosen.collect()}
-    kind = docs.schema["doc_id"].dataType
-    keys = docs.sparkSession.createDataFrame([(k,) for k in y_of], f"doc_id {kind.simpleString()}")
-    rows = vectors(docs.join(F.broadcast(keys), "doc_id", "left_semi")).collect()
-    # Rows that repeat a doc_id: the first in order of vectors stands for it.
-    rows = list({r["doc_id"]: r for r in sorted(rows, key=lambda r: (r["doc_id"], r["x"]))[::-1]}.values())
-    width = TEXT_DIM + META_DIM
-    x = np.array([np.frombuffer(r["x"], np.float32) for r in rows]).reshape(-1, width)
-    y = np.array([np.nan if y_of[r["doc_id"]] is None else y_of[r["doc_id"]] for r in rows], float)
-    mine = ~np.isnan(y)
-    return co_train(x[mine], y[mine], x[~mine])
+    rows.sort(key=lambda r: r["doc_id"])
+    x = np.array([np.frombuffer(r["x"], np.float32) for r in rows]).reshape(-1, sum(DIMS))
+    y = np.array([y_of[r["doc_id"]] for r in rows], float)
+    n_known = known.count()
+    pool = made.join(sized(known.select("doc_id"), n_known, 16), "doc_id", "left_anti")
+    if n_known * 16 >= BROADCAST_BYTES:  # a shuffle, not to be done for each pass
+        pool = written(pool, "quality-pool")
+    return co_train(x, y, lambda teachers, students: sure_sums(pool, teachers, students))
 
 
 def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, p_text, p_meta, score, kept) of every row of ``docs``."""
-    found = vectors(docs, fit(docs, labels))
+    made = written(vectors(docs), "quality-vectors")
+    model = docs.sparkSession.sparkContext.broadcast(fit(made, labels))
+    kind = made.schema["doc_id"].dataType.simpleString()
+
+    def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+        x = matrix(batch.column("x"))
+        found = [pa.array(c.astype(np.float64)) for c in model.value.chances(*(x[:, v] for v in VIEWS))]
+        return pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), *found], ["doc_id", "p_text", "p_meta", "score"]
+        )
+
+    found = map_arrow(made, each, f"doc_id {kind}, p_text double, p_meta double, score double")
     return found.withColumn("kept", F.col("score") >= KEEP)
 
 
