@@ -53,7 +53,7 @@ def test_decontamination_offsets_and_many_automata(spark, monkeypatch):
     one = {r.doc_id: r for r in decontamination.hits(docs, benchmark(spark, items), 2).collect()}
     assert [text[s.start : s.end] for s in one[1].spans] == ["QUICK, brown"]
     monkeypatch.setattr(decontamination, "AUTOMATON_BYTES", 50)
-    assert len(decontamination.matchers(benchmark(spark, items), 2)) > 5
+    assert len(list(decontamination.matchers(benchmark(spark, items), 2))) > 5
     many = {r.doc_id: r for r in decontamination.hits(docs, benchmark(spark, items), 2).collect()}
     assert one == many
 
@@ -74,6 +74,28 @@ def test_decontamination_random(spark):
     assert got == {i: decontamination.brute_force(t, {str(k): x for k, x in items}, 4) for i, t, _ in docs}
 
 
+def test_decontamination_by_many_automata(spark, monkeypatch):
+    rng = random.Random(5)
+    word = lambda: rng.choice("abcde")
+    sentence = lambda n: " ".join(word() for _ in range(n))
+    items = [(i, sentence(rng.randint(0, 7))) for i in range(12)] + [(50, sentence(90)), (None, "a b c d e"), (51, None)]
+    docs = [(i, sentence(rng.randint(0, 40)).replace(" ", " -- "), "a") for i in range(60)]
+    docs += [(80, "a b c d e", "a"), (80, "a b c d e", "a"), (None, "a b c d e", "a"), (70, None, None), (71, "none of it", "a")]
+    monkeypatch.setattr(decontamination, "AUTOMATON_BYTES", 40)
+    monkeypatch.setattr(decontamination, "PIECE_WINDOWS", 8)
+    made = list(decontamination.matchers(benchmark(spark, items), 5))
+    assert len(made) > 5 and all(len(m.patterns) < 50 for m in made)
+    got = decontamination.hits(documents(spark, docs), benchmark(spark, items), 5).collect()
+    want = [(i, *decontamination.brute_force(t, {None if k is None else str(k): x for k, x in items}, 5)) for i, t, _ in docs]
+    assert sorted(str((r.doc_id, r.n_words, r.n_hit, r.item_ids)) for r in got) == sorted(map(str, want))
+    texts = {i: t for i, t, _ in docs}
+    for r in got:
+        words = decontamination.normal_words(texts[r.doc_id])
+        assert [decontamination.normal_words(texts[r.doc_id][s.start : s.end]) for s in r.spans] == [words[w.first : w.last + 1] for w in r.words]
+    none = decontamination.hits(documents(spark, []).limit(0), benchmark(spark, items), 5)
+    assert none.collect() == []
+
+
 def test_decontamination_of_nothing(spark, nothing, edges):
     assert rows(decontamination.hits(nothing, benchmark(spark, ITEMS))) == []
     empty = decontamination.hits(edges, benchmark(spark, []).limit(0))

@@ -5,9 +5,12 @@ window of ``WINDOW`` consecutive words of an item (or all its words, if fewer) i
 pattern; the automaton reads each normalised document once and reports where patterns
 end. Word numbers map back to character offsets of the original text.
 
-The automaton is a copy on every executor, so its patterns are sized first. Items beyond
-``AUTOMATON_BYTES`` are dealt to several automata, each of bounded size; documents are
-then scanned by each and the hits united per document. Nothing is left out at any size.
+The automaton is a copy on every executor, so its size is bounded. Items beyond
+``AUTOMATON_BYTES`` of text, a long item cut into overlapping pieces, are dealt to several
+automata of that size. Each is broadcast for one pass over the documents and dropped before
+the next is, so an executor holds one and the driver the patterns of two. A pass keeps the
+hits of hit texts alone, by the text's SHA-256; they are united at the end. Nothing is
+left out at any size.
 
 Defined cases: null or empty text has no words and no hits; an item without words has no
 window; items without an id are one item that counts but has no place in lists of ids;
@@ -20,18 +23,22 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import ahocorasick
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewarden.llm.shared import map_arrow
+from tidewarden.llm.shared import map_arrow, scratch_path, sized, written
 
 WINDOW = 10
-#: Normalised text of items that one automaton takes.
+#: Characters of items that one automaton takes, but for one piece more.
 AUTOMATON_BYTES = 1 << 19
+#: Windows that one piece of a long item has at most.
+PIECE_WINDOWS = 1 << 12
 
 #: Every ASCII byte to its normal form: letters to lower case, the rest but digits to a space.
 NORMAL = bytes(
@@ -137,40 +144,44 @@ def char_spans(text: str | None, ranges: list[tuple[int, int]]) -> list[tuple[in
     return [(places[a][0], places[b][1]) for a, b in ranges]
 
 
-def matchers(benchmark: DataFrame, window: int) -> list[Matcher]:
-    """One automaton, or as many of bounded size as the benchmark takes.
+def pieces(text: str | None, window: int) -> Iterator[str]:
+    """A short text as it is; a long one in pieces that have each of its windows once."""
+    words = normal_words(text)
+    if len(words) < PIECE_WINDOWS + window:
+        yield text or ""
+        return
+    for i in range(0, len(words) - window + 1, PIECE_WINDOWS):
+        yield " ".join(words[i : i + PIECE_WINDOWS + window - 1])
+
 
-    Only item ids and texts are read to the driver, one bounded part at a time.
+def matchers(benchmark: DataFrame, window: int) -> Iterator[Matcher]:
+    """One automaton, or as many of bounded size as the benchmark takes, one at a time.
+
+    Only item ids and texts are read to the driver, a partition at a time.
     """
-    out: list[Matcher] = []
     part: list[tuple[str | None, str | None]] = []
-    size = 0
+    size = made = 0
     rows = benchmark.select(F.col("item_id").cast("string"), "text")
     for item_id, text in rows.distinct().toLocalIterator():
-        part.append((item_id, text))
-        size += len(text or "") * window  # each word stands in up to so many patterns
-        if size >= AUTOMATON_BYTES * window:
-            out.append(Matcher.of(part, window))
-            part, size = [], 0
-    return [*out, Matcher.of(part, window)] if part or not out else out
+        for piece in pieces(text, window):
+            part.append((item_id, piece))
+            size += len(piece)
+            if size >= AUTOMATON_BYTES:
+                yield Matcher.of(part, window)
+                made += 1
+                part, size = [], 0
+    if part or not made:
+        yield Matcher.of(part, window)
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``docs`` (doc_id, text) as (doc_id, n_words, n_hit, item_ids, words, spans)."""
-    docs = docs.select("doc_id", "text")
-    spark = docs.sparkSession
-    shared = [spark.sparkContext.broadcast(m) for m in matchers(benchmark, window)]
+def scanned(docs: DataFrame, matcher: Broadcast, key: str) -> DataFrame:
+    """``docs`` (key, text) as (key, n_words, n_hit, item_ids, words, spans)."""
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         columns: list[list] = [[], [], [], [], []]
         for text in batch.column("text").to_pylist():
             joined, n = normal_text(text)
-            ranges: list[tuple[int, int]] = []
-            items: set[str | None] = set()
-            for matcher in shared:
-                some, ids = matcher.value.scan(joined)
-                ranges += some
-                items |= ids
+            ranges, items = matcher.value.scan(joined)
             ranges = merged(ranges)
             values = (
                 n,
@@ -181,13 +192,81 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFra
             )
             for column, value in zip(columns, values, strict=True):
                 column.append(value)
-        arrays = [pa.array(c, t) for c, (_, t) in zip(columns, HIT_ARROW, strict=True)]
-        return pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), *arrays], ["doc_id", *(n for n, _ in HIT_ARROW)]
-        )
+        return with_hits(batch.column(key), columns, key)
+
+    kind = docs.schema[key].dataType.simpleString()
+    return map_arrow(docs.select(key, "text"), each, f"{key} {kind}, {HIT_SCHEMA}")
+
+
+def with_hits(ids: pa.Array, columns: list[list], key: str) -> pa.RecordBatch:
+    arrays = [pa.array(c, t) for c, (_, t) in zip(columns, HIT_ARROW, strict=True)]
+    return pa.RecordBatch.from_arrays([ids, *arrays], [key, *(n for n, _ in HIT_ARROW)])
+
+
+def united(parts: list[dict] | None) -> tuple[int, list, list, list]:
+    """(n_hit, item_ids, words, spans) of what automata found in one text."""
+    items: set[str | None] = set()
+    places: list[list[int]] = []
+    for part in parts or ():
+        items.update(part["item_ids"])
+        for w, s in zip(part["words"], part["spans"], strict=True):
+            places.append([w["first"], w["last"], s["start"], s["end"]])
+    whole: list[list[int]] = []
+    for place in sorted(places):
+        if whole and place[0] <= whole[-1][1] + 1:
+            if place[1] > whole[-1][1]:
+                whole[-1][1::2] = place[1::2]
+        else:
+            whole.append(place)
+    return (
+        sum(last - first + 1 for first, last, _, _ in whole),
+        in_order(items),
+        [{"first": p[0], "last": p[1]} for p in whole],
+        [{"start": p[2], "end": p[3]} for p in whole],
+    )
+
+
+def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """``docs`` (doc_id, text) as (doc_id, n_words, n_hit, item_ids, words, spans)."""
+    docs = docs.select("doc_id", "text")
+    context = docs.sparkSession.sparkContext
+    each = matchers(benchmark, window)
+    matcher, more = next(each), next(each, None)
+    if more is None:
+        return scanned(docs, context.broadcast(matcher), "doc_id")
+
+    texts = docs.select(F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"), "text")
+    path = scratch_path(docs.sparkSession, "decontamination-hits")
+    while matcher is not None:
+        shared = context.broadcast(matcher)
+        # Rows of one text find the same, so one of them stands for all.
+        found = scanned(texts, shared, "digest").where(contaminated())
+        found = found.groupBy("digest").agg(F.first(F.struct("item_ids", "words", "spans")).alias("part"))
+        found.write.mode("append").parquet(path)
+        shared.destroy()
+        matcher, more = more, next(each, None)
+    found = docs.sparkSession.read.schema(found.schema).parquet(path)
+    # A text has one part for each automaton at most.
+    parts = written(found.groupBy("digest").agg(F.collect_list("part").alias("parts")), "decontamination-parts")
+    n, size = parts.agg(F.count("*"), F.sum(F.length(F.to_json("parts")) + 64)).first()
+    parts = sized(parts, n, (size or 0) // max(1, n) + 1)
+    # Whole texts are not shuffled: rows meet their hits by digest, their words counted before.
+    counted = word_counts(docs).join(parts, "digest", "left")
+
+    def unite(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = [united(p) for p in batch.column("parts").to_pylist()]
+        columns = [batch.column("n_words").to_pylist(), *([f[i] for f in found] for i in range(4))]
+        return with_hits(batch.column("doc_id"), columns, "doc_id")
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return map_arrow(docs, each, f"doc_id {kind}, {HIT_SCHEMA}")
+    return map_arrow(counted.select("doc_id", "n_words", "parts"), unite, f"doc_id {kind}, {HIT_SCHEMA}")
+
+
+def word_counts(docs: DataFrame) -> DataFrame:
+    """(doc_id, digest, n_words) of ``docs``."""
+    text = F.coalesce("text", F.lit(""))
+    words = F.size(F.regexp_extract_all(text, F.lit(WORD.pattern), F.lit(0))).cast("bigint")
+    return docs.select("doc_id", F.sha2(text, 256).alias("digest"), words.alias("n_words"))
 
 
 def contaminated() -> Column:
