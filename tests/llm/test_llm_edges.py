@@ -400,6 +400,26 @@ def test_pii_edges(spark, nothing):
     assert rows(pii.personal_data(nothing)) == []
 
 
+def test_pii_drops_what_overlaps_base_spans(spark, monkeypatch):
+    rng = random.Random(7)
+    part = lambda: rng.choice(
+        ["555-123-4567", "+1 555-123-4567", "(030) 123 4567", "10.0.0.1", "a@b.org", "x (at) y.com", "123-45-6789"]
+        + ["4111 1111 1111 1111", "+49 30 123-45-6789", "4111 1111 1111 1111 222-333-4444", "1.2.3.4.555.666.7777", "word", " "]
+    )
+    made = [(i, rng.choice(["", " ", ", "]).join(part() for _ in range(rng.randint(0, 40))), "a") for i in range(60)]
+    docs = documents(spark, made)
+    kept = {r.doc_id: [(s.kind, s.start, s.end) for s in r.spans] for r in pii.document_candidates(docs).collect()}
+    monkeypatch.setattr(pii, "overlaps", lambda span, others: F.lit(False))
+    dropped = 0
+    for r in pii.document_candidates(docs).collect():
+        every = [(s.kind, s.start, s.end) for s in r.spans]
+        base = [s for s in every if s[0] in pii.BASE_KINDS]
+        apart = [s for s in every if s in base or not any(s[1] < b[2] and b[1] < s[2] for b in base)]
+        assert kept[r.doc_id] == apart
+        dropped += len(every) - len(apart)
+    assert dropped > 50
+
+
 def test_pii_adds_what_labelers_agree_on(spark):
     made = [(i, f"call me on 212-555-{1000 + i} or mail ann{i}@example.org", "a") for i in range(30)]
     made += [(100 + i, f"see table 000-000-{1000 + i} page 1", "a") for i in range(3)]

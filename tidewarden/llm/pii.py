@@ -23,6 +23,8 @@ spans; an empty table gives an empty result; extra columns are ignored; a score
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -247,12 +249,36 @@ def document_candidates(docs: DataFrame) -> DataFrame:
         candidates("local_phone", text, LOCAL_PHONE, anything, None),
         candidates("id_number", text, ID_NUMBER, anything, F.contains(text, F.lit("-"))),
     ]
-    found = docs.select("doc_id", F.concat(*base).alias("base"), F.concat(*added).alias("added"))
-    apart = F.filter(
-        "added",
-        lambda a: ~F.exists("base", lambda b: (a["start"] < b["end"]) & (b["start"] < a["end"])),
+    found = docs.select(
+        "doc_id", *(c.alias(k) for k, c in zip(BASE_KINDS, base, strict=True)), F.concat(*added).alias("added")
+    )
+    apart = F.filter("added", lambda a: ~reduce(or_, (overlaps(a, F.col(k)) for k in BASE_KINDS)))
+    return found.select("doc_id", F.concat(*BASE_KINDS, apart).alias("spans"))
+
+
+def overlaps(span: Column, others: Column) -> Column:
+    """Whether a span overlaps one of others, which are in order and apart from each other.
+
+    Of those that start before the span's end the last one reaches furthest; halving finds it,
+    so a text with many spans takes steps in proportion, not by pairs.
+    """
+    halvings = F.sequence(F.lit(1), F.length(F.bin(F.size(others))))
+
+    def halve(x: Column, _: Column) -> Column:
+        middle = F.floor((x["low"] + x["high"]) / 2).cast("int")
+        before = F.get(others, middle)["start"] < span["end"]
+        open_ = x["low"] < x["high"]
+        return F.struct(
+            F.when(open_ & before, middle + 1).otherwise(x["low"]).alias("low"),
+            F.when(open_ & ~before, middle).otherwise(x["high"]).alias("high"),
+        )
+
+    return F.aggregate(
+        halvings,
+        F.struct(F.lit(0).alias("low"), F.size(others).alias("high")),
+        halve,
+        lambda x: F.coalesce(F.get(others, x["low"] - 1)["end"] > span["start"], F.lit(False)),
     )
-    return found.select("doc_id", F.concat("base", apart).alias("spans"))
 
 
 def vote_posteriors(spans: DataFrame) -> DataFrame:
