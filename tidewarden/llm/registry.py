@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 from tidewarden.llm import (
+    conversation_repair,
     decontamination,
     html_extraction,
     mixing,
@@ -33,6 +34,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_url_filters": url_filters.op8_url_filters,
         "op9_quality_rules": quality_rules.op9_quality_rules,
         "op10_simhash": simhash.op10_simhash,
+        "op11_conversation_repair": conversation_repair.op11_conversation_repair,
         "pipeline": corpus_pipeline.run,
     }
 
