@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 from tidewarden.llm import (
+    collocations,
     conversation_repair,
     decontamination,
     html_extraction,
@@ -35,6 +36,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_quality_rules": quality_rules.op9_quality_rules,
         "op10_simhash": simhash.op10_simhash,
         "op11_conversation_repair": conversation_repair.op11_conversation_repair,
+        "op13_collocations": collocations.op13_collocations,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -45,6 +47,7 @@ def oracle_sql() -> dict[str, str]:
         "op4_secret_scan": secret_scan.ORACLE,
         "op8_url_filters": url_filters.ORACLE,
         "op9_quality_rules": quality_rules.ORACLE,
+        "op13_collocations": collocations.ORACLE,
     }
     if corpus_pipeline.ORACLE_SQL:
         found["pipeline"] = corpus_pipeline.ORACLE_SQL
