@@ -13,6 +13,7 @@ from tidewarden.llm import (
     decontamination,
     html_extraction,
     mixing,
+    packing,
     pii,
     quality_classifier,
     quality_rules,
@@ -36,6 +37,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_quality_rules": quality_rules.op9_quality_rules,
         "op10_simhash": simhash.op10_simhash,
         "op11_conversation_repair": conversation_repair.op11_conversation_repair,
+        "op12_packing": packing.op12_packing,
         "op13_collocations": collocations.op13_collocations,
         "pipeline": corpus_pipeline.run,
     }
