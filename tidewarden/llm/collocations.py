@@ -10,11 +10,12 @@ more often than their parts would suggest. One pass over the texts for each leng
 
 A bucket counts at least what its phrases do, so none that is frequent is lost. What the next
 pass needs is one bitmap a length: buckets with enough hits, and buckets of phrases that were
-found frequent. Both are broadcast. There is a bucket for every 8 words, by the length of all
-texts, but BUCKETS at most (8 MB a bitmap), which bounds what a task holds too. Counters stop
-at the least frequency: a sum of numbers cut there reaches it if and only if the sum itself
-does, so one byte a counter will do as long as the frequency fits one. Beyond some 10 G words
-buckets fill and prune less; counts stay exact, and the exchange of exact counts grows.
+found frequent. Both are broadcast. There is a bucket for every two to three words, by the length
+of all texts, but BUCKETS at most (8 MB a bitmap), which bounds what a task holds too. Counters
+stop at the least frequency: a sum of numbers cut there reaches it if and only if the sum
+itself does, so one byte a counter will do as long as the frequency fits one. Beyond some
+billion words buckets fill and prune less; counts stay exact, and the exchange of exact counts
+grows.
 
 Texts are parted into words once: pass 1 writes each batch as its different words and their
 numbers in a row, which later passes read. Exact counts are of words themselves: within a
@@ -53,7 +54,7 @@ SCALE = 2_000_000
 COVER = 80
 #: Counters of a pass, and bits of a bitmap, at most; one for so many bytes of text.
 BUCKETS = 1 << 26
-BUCKET_BYTES = 48
+BUCKET_BYTES = 16
 #: Counters that tasks hand on at once, as one row.
 BLOCK = 1 << 13
 #: Words and phrases whose counts a task holds before it hands them on.
@@ -118,7 +119,7 @@ def buckets(hashes: np.ndarray, k: int, lang: str, n: int) -> np.ndarray:
     total = np.full(max(0, len(hashes) - k + 1), lang_hash(lang))
     for i in range(k):
         total += mixed(hashes[i : len(hashes) - k + 1 + i] * MULTIPLIERS[i])
-    return (mixed(total) & np.uint64(n - 1)).astype(np.int64)
+    return (mixed(total) % np.uint64(n)).astype(np.int64)
 
 
 def whole(numbers: np.ndarray, k: int) -> np.ndarray:
@@ -202,7 +203,7 @@ class Pass:
         for block in range(0 if self.counters is None else -(-self.n // BLOCK)):
             part = self.counters[block * BLOCK : (block + 1) * BLOCK]
             if part.any():
-                yield out_batch(place=[block], block=[part.tobytes()])
+                yield out_batch(place=[block], block=[pa.compress(part, "zstd", asbytes=True)])
 
 
 #: What a pass writes: counts, blocks of counters and, in the first, texts as numbers of words.
@@ -255,16 +256,18 @@ def passed(
     return rows.sparkSession.read.schema(PASSED_SCHEMA).parquet(path)
 
 
-def folded(blocks: DataFrame, counters: bool, least: int) -> DataFrame:
+def folded(blocks: DataFrame, counters: bool, least: int, n_buckets: int) -> DataFrame:
     """(place, block): blocks of one place as one, counters as bits of those that reach ``least``,
     or bits united. A task holds those places alone that are its own."""
     kind = np.uint8 if least < 128 or not counters else np.uint32
+    width = np.dtype(kind).itemsize
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: dict[int, np.ndarray] = {}
         for batch in batches:
             for place, block in zip(batch.column("place").to_pylist(), batch.column("block"), strict=True):
-                part = np.frombuffer(block.as_buffer(), kind)
+                size = min(BLOCK, n_buckets - place * BLOCK) * width if counters else -(-BLOCK // 8)
+                part = np.frombuffer(pa.decompress(block.as_buffer(), size, "zstd"), kind)
                 if place not in own:
                     own[place] = part.copy()
                 elif counters:
@@ -282,8 +285,8 @@ def folded(blocks: DataFrame, counters: bool, least: int) -> DataFrame:
 
 def bitmap(blocks: DataFrame, n_buckets: int) -> np.ndarray:
     """Blocks of bits as one bitmap on the driver, of n_buckets bits whatever the data."""
-    out = np.zeros(-(-n_buckets // 8), np.uint8)
-    for place, block in blocks.toLocalIterator():
+    out = np.zeros(-(-n_buckets // BLOCK) * BLOCK // 8, np.uint8)
+    for place, block in blocks.collect():
         part = np.frombuffer(bytes(block), np.uint8)
         out[place * BLOCK // 8 : place * BLOCK // 8 + len(part)] = part
     return out
@@ -303,20 +306,20 @@ def marked(frequent: DataFrame, k: int, n_buckets: int) -> DataFrame:
                 hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
                 places = buckets(hashes, k, lang, n_buckets)[::k]
                 for place in places.tolist():
-                    block = own.setdefault(place // BLOCK, np.zeros(min(BLOCK, n_buckets) // 8, np.uint8))
+                    block = own.setdefault(place // BLOCK, np.zeros(-(-BLOCK // 8), np.uint8))
                     block[place % BLOCK >> 3] |= 1 << (place & 7)
         for place, part in own.items():
             yield pa.RecordBatch.from_arrays(
-                [pa.array([place], pa.int64()), pa.array([part.tobytes()], pa.binary())], ["place", "block"]
+                [pa.array([place], pa.int64()), pa.array([pa.compress(part, "zstd", asbytes=True)], pa.binary())], ["place", "block"]
             )
 
     return frequent.select("lang", "phrase").mapInArrow(run, "place bigint, block binary")
 
 
 def buckets_for(docs: DataFrame, most: int) -> int:
-    """A power of two: a bucket for every BUCKET_BYTES of all texts, ``most`` at most."""
+    """A bucket for every BUCKET_BYTES of all texts, ``most`` at most."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return min(most, max(8, 1 << (size // BUCKET_BYTES).bit_length()))
+    return min(most, max(8, size // BUCKET_BYTES))
 
 
 def counted(docs: DataFrame, least: int, longest: int, most: int) -> tuple[DataFrame, DataFrame]:
@@ -341,8 +344,8 @@ def counted(docs: DataFrame, least: int, longest: int, most: int) -> tuple[DataF
             # maps[k - 1]: frequent phrases of k words; maps[k]: buckets of the next length.
             blocks = made.where("block is not null").select("place", "block")
             maps[k - 1 :] = [
-                bitmap(folded(marked(own, k, n_buckets), False, 1), n_buckets),
-                bitmap(folded(blocks, True, least), n_buckets),
+                bitmap(folded(marked(own, k, n_buckets), False, 1, n_buckets), n_buckets),
+                bitmap(folded(blocks, True, least, n_buckets), n_buckets),
             ]
             shared = context.broadcast(maps)
     out = found[0]
@@ -398,7 +401,7 @@ def collocations(
     """Each language's first collocations of ``docs`` (lang, text): lang, rank, phrase, a (its
     places), l and r (those of its two parts at the cut), n (words of the language), score.
 
-    ``most_buckets`` is a power of two, 8 at least, and ``longest`` 2 to 4.
+    ``longest`` is 2 to 4.
     """
     frequent, totals = counted(docs, least, longest, most_buckets)
     order = F.col("score").desc(), F.col("a").desc(), F.col("phrase")
