@@ -16,7 +16,10 @@ outside any tag is a block; unclosed and stray tags are closed or skipped as bro
 head ends at the first tag or text that can't be in it, an svg at a paragraph or the like, any
 element with its parent, and elements deeper than ``DEPTH`` are siblings); an unclosed script
 or style runs to the page's end; script, style and other text that is never shown makes no
-block and parts none; a ``<`` that starts no tag is text; repeated rows each get their text;
+block and parts none; a ``<`` that starts no tag is text; tags are read as the HTML standard has
+them, at any length: a quote after ``=`` hides what is up to its like, and one that has none
+before the page's last ``>`` is a character as others; ``<!-->`` and ``<!--->`` are whole
+comments, and one without an end takes the rest of the page; repeated rows each get their text;
 an empty table gives an empty result; extra columns are ignored. A page is read in time
 proportional to its length.
 """
@@ -51,10 +54,6 @@ SIDE_BY_SIDE = 64
 BLOCKS_AT_ONCE = 1 << 16
 #: Open elements, at most.
 DEPTH = 512
-#: Characters within which quotes in a tag are heeded; a longer tag ends at its first ``>``, as
-#: do tags after so many futile readings of a page.
-TAG_CHARS = 1 << 16
-READINGS = 8
 
 #: Tags that end a block, a fixed value from the HTML standard.
 BLOCK_TAGS = frozenset(
@@ -85,12 +84,17 @@ IMPLIED_END = {
 #: Elements that an implied end does not look out of.
 SCOPES = frozenset("ul ol table dl select body div article section aside nav main".split())
 
-TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
-LOOSE_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
-RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.IGNORECASE) for tag in RAW}
-NAMES = re.compile(
-    r"""\b(?:class|id|role|itemprop)\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]++))""", re.IGNORECASE
+TAG_NAME = re.compile(r"(/?)([a-zA-Z][^ \t\n\f\r/>]*+)")
+#: The end of a tag, or an attribute's name with the quote its value starts with, or a plain value.
+ATTRIBUTE = re.compile(
+    r"""[ \t\n\f\r/]*+(?:(>)|([^ \t\n\f\r/>][^ \t\n\f\r/>=]*+)"""
+    r"""(?:[ \t\n\f\r]*+=[ \t\n\f\r]*+(?:(["'])|([^ \t\n\f\r>]*+)))?+)"""
 )
+PLAIN = re.compile(r"[^ \t\n\f\r>]*+")
+COMMENT_END = re.compile(r"--!?>")
+RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.IGNORECASE) for tag in RAW}
+#: Attributes whose values tell what an element is for.
+TELLING = frozenset("class id role itemprop".split())
 NAME_WORD = re.compile(r"[a-z]+")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
@@ -148,13 +152,13 @@ class Reader:
         self.paths.append(path)
         self.open_tags[tag] += 1
 
-    def start_tag(self, tag: str, attributes: str) -> None:
+    def start_tag(self, tag: str, names: str, closed: bool) -> None:
         if self.hidden:
             outer = self.stack[self.hidden - 1]
             if self.stack[-1] == "head" and tag not in HEAD_TAGS or outer in FOREIGN and tag in BLOCK_TAGS:
                 self.close(self.hidden - 1)
         if tag in SILENT:
-            if not (tag in FOREIGN and attributes.endswith("/")):
+            if not (tag in FOREIGN and closed):
                 self.open(tag, self.paths[-1] if self.paths else "")
                 self.hidden = self.hidden or len(self.stack)
             return
@@ -176,7 +180,6 @@ class Reader:
                 self.close(at)
             elif self.stack[at] in SCOPES:
                 break
-        names = " ".join(x for m in NAMES.findall(attributes) for x in m) if attributes else ""
         words = NAME_WORD.findall(CAMEL.sub(" ", names).lower()) if names else ()
         own = " ".join([tag, *(f".{w}" for w in dict.fromkeys(words))])
         self.open(tag, f"{self.paths[-1]}/{own}" if self.paths and self.paths[-1] else own)
@@ -190,10 +193,26 @@ class Reader:
         self.close(at)
 
 
-def quoted_tag(page: str, at: int, end: int, futile: int) -> re.Match | None:
-    if futile > READINGS * len(page):
-        return None
-    return TAG.match(page, at, min(end, at + TAG_CHARS))
+def attributes(page: str, at: int, end: int, alone: set[str]) -> tuple[str, int]:
+    """Telling values of the tag whose attributes start here, and where it ends.
+
+    ``end`` is after the page's last ``>``; ``alone`` gathers quotes that none follows before it,
+    so that no part of a page is searched twice for the same.
+    """
+    found: list[str] = []
+    while not (m := ATTRIBUTE.match(page, at))[1]:
+        at, quote, value = m.end(), m[3], m[4]
+        if quote:
+            close = -1 if quote in alone else page.find(quote, at, end)
+            if close < 0:
+                alone.add(quote)
+                value = PLAIN.match(page, at)[0]
+                at += len(value)
+            else:
+                value, at = page[at:close], close + 1
+        if value and m[2].lower() in TELLING:
+            found.append(value)
+    return " ".join(found), m.end()
 
 
 def blocks(page: str | None) -> list[Block]:
@@ -201,21 +220,21 @@ def blocks(page: str | None) -> list[Block]:
     page, reader = page or "", Reader()
     done = at = 0  # up to where text is read, and tags are looked for
     end = page.rfind(">") + 1  # no tag ends later
-    futile = 0  # characters read for tags whose quotes don't end
+    alone: set[str] = set()
     while (at := page.find("<", at, end)) >= 0:
         follows = page[at + 1 : at + 2]
         if page.startswith("<!--", at):
             reader.text(page[done:at])
-            close = page.find("-->", at + 4)
-            done = at = close + 3 if close >= 0 else len(page)
-        elif follows in "!?":
-            reader.text(page[done:at])
-            done = at = page.find(">", at) + 1
-        elif m := quoted_tag(page, at, end, futile) or LOOSE_TAG.match(page, at, end):
-            futile += 0 if m.re is TAG else min(TAG_CHARS, end - at)
+            if m := re.match("-?>", page[at + 4 : at + 6]):
+                done = at = at + 4 + m.end()
+            else:
+                close = COMMENT_END.search(page, at + 4)
+                done = at = close.end() if close else len(page)
+        elif m := TAG_NAME.match(page, at + 1):
             reader.text(page[done:at])
-            done = at = m.end()
             tag = m[2].lower()
+            names, done = attributes(page, m.end(), end, alone)
+            at = done
             if m[1]:
                 reader.end_tag(tag)
             elif tag in RAW:
@@ -224,7 +243,10 @@ def blocks(page: str | None) -> list[Block]:
                 found = RAW_END[tag].search(page, at)
                 done = at = found.start() if found else len(page)
             else:
-                reader.start_tag(tag, m[3])
+                reader.start_tag(tag, names, page[at - 2] == "/")
+        elif follows in "!?/":
+            reader.text(page[done:at])
+            done = at = page.find(">", at) + 1
         else:
             at += 1
     reader.text(page[done:])
