@@ -340,10 +340,30 @@ def test_html_reader_closes_what_is_never_shown():
     assert shown("<p>a</p><iframe><p>z</p></iframe><p>b<template><p>z</p></template>c") == ["a", "bc"]
 
 
+@pytest.mark.parametrize("size", [60_000, 70_000, 1_000_000])
+def test_html_tags_of_any_length(size):
+    state = "{\"h\":\"<p>menu item</p>\" " + "x" * size + "}"
+    assert shown(f"<article><p>one</p><div data-state='{state}'><p>two</p></div></article>") == ["one", "two"]
+    assert shown(f"<article><p>one</p><div {'a=b ' * (size // 4)}><p>two</p></article>") == ["one", "two"]
+
+
+def test_html_comments_and_quotes():
+    assert shown("<article><p>one</p><!--><p>two</p><!---><p>three</p><!----><p>four<!-- z --!><p>five</article>") == [
+        "one", "two", "three", "four", "five",
+    ]
+    assert shown("<p>a</ p>b</>c<!doctype x>d") == ["abcd"]
+    assert shown("<p title=it's>one</p><p title = 'a>b' class=\"x\">two</p>") == ["one", "two"]
+    assert shown("<p title=\"a>one</p><p>two</p>") == ["one", "two"]  # a quote without its like
+    blocks = html_extraction.blocks("<div data-id='x' ID=Side-Bar class=\"navMenu\" role='a'>t</div>")
+    assert [(b.path, b.text) for b in blocks] == [("div .side .bar .nav .menu .a", "t")]
+
+
 @pytest.mark.parametrize("page", [
     "<p>" + "<a " * 350_000, "<p>" + "<a " * 350_000 + ">", "<p>" + '<a ">"' * 170_000 + ">", "<a '>" * 200_001,
     "<div>" * 100_000 + "</p>" * 100_000, "<!--" * 250_000, "<script " * 125_000, "<script>" * 125_000, "<" * 1_000_000,
     "<p>a" * 50_000, "<svg>" * 200_000, "<!" * 500_000, "<head>" * 150_000 + "x" * 1000,
+    "<a b='>" * 140_000, "<a b='>\"" * 120_000, "<a b=\"'>" * 120_000, "<a " + "b='c' " * 160_000 + ">", "<a b" + " " * 500_000 + "=" + " " * 500_000 + ">",
+    "<!--" + "--!" * 330_000, "</ " * 330_000 + ">", "<!-->" * 200_000,
 ])
 def test_html_reader_is_linear(page):
     began = time.process_time()
@@ -372,6 +392,60 @@ def test_html_edges(spark):
     assert rows(html_extraction.extract(df.limit(0))) == []
 
 
+def test_secret_scan_is_linear():
+    for text in (
+        "eyJ" * 3_300_000, "eyJ." * 2_000_000, "-----BEGIN " * 300_000, "-----BEGIN " + "PRIVATE KEY " * 100_000, "ghp_" * 1_000_000,
+        "xoxa-" * 1_000_000, "secret" + " " * 1_000_000, "token=" * 200_000, "AKIA" * 1_000_000, "deadbeef" * 1_000_000,
+    ):
+        began = time.process_time()
+        secret_scan.spans(text)
+        assert time.process_time() - began < 8, text[:12]
+
+
+def test_jwts_as_their_pattern_finds_them():
+    rng = random.Random(3)
+    pattern = secret_scan.ADDED["jwt"][1]
+    parts = ["eyJ", "a" * 8, "b", ".", ".", "eyJ" + "c" * 8, "-", " ", "é"]
+    for _ in range(20_000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(1, 16)))
+        assert [m.span() for m in pattern.finditer(text)] == list(secret_scan.jwt_spans(text)), text
+
+
+def test_findings_of_other_runs_blobs_are_left_alone(spark, tmp_path):
+    first = documents(spark, [(1, "AKIA" + "A" * 16, "a")])
+    second = documents(spark, [(2, "0123456789abcdef0", "a"), (3, "AKIA" + "A" * 16, "a")])
+    ledger = str(tmp_path / "ledger")
+    assert secret_scan.scan(first, ledger).count() == 1
+    got = {r.doc_id: [s.kind for s in r.spans] for r in secret_scan.scan(second, ledger).collect()}
+    assert got == {2: ["hex"], 3: ["access"]}
+
+
+def test_token_shards_close_by_documents(spark, monkeypatch, tmp_path):
+    import public_tokenizers
+
+    monkeypatch.setattr(token_output, "SHARD_DOCS", 7)
+    docs = documents(spark, [(i, None if i % 3 else "word " * i, "a") for i in range(50)])
+    manifest = token_output.write_shards(docs, public_tokenizers.path("byte_bpe_50k.json"), str(tmp_path))
+    assert sum(r.n_docs for r in manifest.collect()) == 50 and max(r.n_docs for r in manifest.collect()) == 7
+    got = sorted(tuple(r) for r in token_output.read_shards(manifest).collect())
+    rows = [(i, None if i % 3 else "word " * i) for i in range(50)]
+    assert got == token_output.brute_force(rows, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def test_kept_order_is_by_part_number(spark, tmp_path):
+    import public_tokenizers
+
+    for name, i in (("part-99999-x", 1), ("part-100000-x", 2), ("part-00007-x", 0)):
+        documents(spark, [(i, f"text {i}", "a")]).coalesce(1).write.parquet(str(tmp_path / "one" / name))
+        file = next((tmp_path / "one" / name).glob("part-*"))
+        (tmp_path / "all").mkdir(exist_ok=True)
+        file.rename(tmp_path / "all" / f"{name}.parquet")
+    docs = spark.read.parquet(str(tmp_path / "all"))
+    manifest = token_output.write_shards(docs, public_tokenizers.path("byte_bpe_50k.json"), str(tmp_path / "out"), keep_order=True)
+    got = sorted((r.start, r.doc_id) for r in token_output.read_shards(manifest).collect())
+    assert [i for _, i in got] == [0, 1, 2]
+
+
 # 6
 
 

@@ -17,7 +17,7 @@ never builds a table of 64-bit offsets.
 
 Files are written under a name of the attempt and moved into place, and a manifest names
 those of the attempts that counted, so lost executors and repeated tasks leave no wrong
-shard behind. A partition beyond ``SHARD_IDS`` rolls over to another shard.
+shard behind. A partition beyond ``SHARD_IDS`` or ``SHARD_DOCS`` rolls over to another shard.
 
 Encoding: byte-level BPE never merges across pre-tokens, so ids of a text are the ids of
 its pre-tokens in a row. Each worker remembers the ids of pre-tokens it has met of late, and
@@ -56,8 +56,9 @@ from tokenizers import Tokenizer
 from tidewarden.llm.shared import scratch_path, small_batches, written
 
 END_ID = 0
-#: A shard is closed when it holds so many ids.
+#: A shard is closed when it holds so many ids, or documents.
 SHARD_IDS = 64 << 20
+SHARD_DOCS = 1 << 20
 #: Ids that a reader holds at once, but for a longer document.
 READ_IDS = 4 << 20
 #: Documents whose boundaries a reader holds at once.
@@ -343,6 +344,7 @@ def write_shards(docs: DataFrame, tokenizer: str, path: str, keep_order: bool =
     spark = docs.sparkSession
     small_batches(spark)
     rows = kept_order(docs) if keep_order else id_order(docs)
+    most_ids, most_docs = SHARD_IDS, SHARD_DOCS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(tokenizer)
@@ -383,7 +385,7 @@ def write_shards(docs: DataFrame, tokenizer: str, path: str, keep_order: bool =
                 doc_ids.append(doc_id)
                 ends.append(total)
                 data.append(ids)
-                if total >= SHARD_IDS:
+                if total >= most_ids or len(doc_ids) >= most_docs:
                     yield close()
                     total, first = 0, at
         if doc_ids:
@@ -421,10 +423,13 @@ def id_order(docs: DataFrame) -> DataFrame:
 
 
 def kept_order(docs: DataFrame) -> DataFrame:
-    """Rows where they lie, with their file and row number if they are read from files."""
+    """Rows where they lie, with their file and row number if they are read from files; files
+    by the number of their part, which has six digits and more, then by path."""
     own = "cast(doc_id as bigint) as doc_id", "text"
+    part = r"lpad(regexp_extract(_metadata.file_path, 'part-(\d+)[^/]*$', 1), 20, '0')"
+    origin = f"concat({part.replace(chr(92), chr(92) * 2)}, ' ', _metadata.file_path) as origin"
     try:
-        return docs.selectExpr(*own, "_metadata.file_path as origin", "_metadata.row_index as place")
+        return docs.selectExpr(*own, origin, "_metadata.row_index as place")
     except AnalysisException:  # no files
         return docs.selectExpr(*own, *NO_PLACE)
 
