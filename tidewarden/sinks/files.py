@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tidewarden.functions import text
@@ -48,8 +49,9 @@ FRONTEND_SOURCES = {
 
 
 def json_lines(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Fields in alphabetical order, nulls kept."""
-    df.select(*sorted(df.columns)).write.mode(mode).option("ignoreNullFields", "false").json(path)
+    """Fields in alphabetical order, nulls kept, times in ISO form with microseconds."""
+    options = {"ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+    df.select(*sorted(df.columns)).write.mode(mode).options(**options).json(path)
 
 
 def csv(df: DataFrame, path: str, columns: list[str], mode: str = "overwrite") -> None:
@@ -90,31 +92,43 @@ def frontend_path(path: str) -> str:
 
 def n_triples(triples: DataFrame, path: str) -> None:
     """One line for each triple."""
-    triples.dropDuplicates().select(statement().alias("value")).write.mode("overwrite").text(path)
+    triples.dropDuplicates().select(statement(triples).alias("value")).write.mode("overwrite").text(path)
 
 
-def turtle(triples: DataFrame, path: str, prefixes: dict[str, str]) -> None:
-    """Triples grouped by subject; each part file begins with the prefixes it needs."""
+def turtle(triples: DataFrame, path: str, prefixes: dict[str, str]) -> dict[str, int]:
+    """Triples grouped by subject; each part file begins with the prefixes. Returns how many
+    subjects and distinct triples were written."""
     head = "\n".join(f"@prefix {k}: <{v}> ." for k, v in sorted(prefixes.items()))
-    parts = triples.dropDuplicates().select("s", F.concat_ws(" ", "p", term()).alias("po"))
-    blocks = parts.groupBy("s").agg(F.array_join(F.sort_array(F.collect_list("po")), " ;\n    ").alias("pos"))
-    body = blocks.select(F.concat("s", F.lit(" "), "pos", F.lit(" .")).alias("value"))
-    spark = triples.sparkSession
-    first = spark.createDataFrame([(head,)], "value string")
-    first.write.mode("overwrite").text(path)
-    body.write.mode("append").text(path)
-
-
-def term():
-    """Object of a triple in Turtle."""
+    parts = triples.dropDuplicates().select("s", F.concat_ws(" ", "p", term(triples)).alias("po"))
+    blocks = parts.groupBy("s").agg(F.sort_array(F.collect_set("po")).alias("pos"))
+    seen = Observation()
+    blocks = blocks.observe(seen, F.count("*").alias("subjects"), F.coalesce(F.sum(F.size("pos")), F.lit(0)).alias("triples"))
+
+    def headed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = True
+        for batch in batches:
+            if first and batch.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.array([head])], ["value"])
+                first = False
+            yield batch
+
+    text_of = F.concat("s", F.lit(" "), F.array_join("pos", " ;\n    "), F.lit(" .")).alias("value")
+    blocks.select(text_of).mapInArrow(headed, "value string").write.mode("overwrite").text(path)
+    return seen.get
+
+
+def term(triples: DataFrame | None = None) -> Column:
+    """Object of a triple in Turtle; with its language if the table has one."""
     escaped = F.regexp_replace(F.regexp_replace("o", r"\\", r"\\\\"), '"', r'\\"')
     escaped = F.replace(F.replace(escaped, F.lit("\n"), F.lit("\\n")), F.lit("\r"), F.lit("\\r"))
     typed = F.when(F.col("datatype").isNull(), "").otherwise(F.concat(F.lit("^^"), F.col("datatype")))
-    return F.when(F.col("kind") == "iri", F.col("o")).otherwise(F.concat(F.lit('"'), escaped, F.lit('"'), typed))
+    if triples is not None and "lang" in triples.columns:
+        typed = F.when(F.col("lang").isNotNull(), F.concat(F.lit("@"), F.col("lang"))).otherwise(typed)
+    return F.when(F.col("kind") != "literal", F.col("o")).otherwise(F.concat(F.lit('"'), escaped, F.lit('"'), typed))
 
 
-def statement():
-    return F.concat_ws(" ", "s", "p", term(), F.lit("."))
+def statement(triples: DataFrame | None = None) -> Column:
+    return F.concat_ws(" ", "s", "p", term(triples), F.lit("."))
 
 
 def by_graph(triples: DataFrame, path: str) -> None:

@@ -1,4 +1,4 @@
-"""Documents: JSON lines, sitemaps, API pages, articles in HTML, Markdown files, Turtle."""
+"""Documents: JSON lines, sitemaps, API pages, articles in HTML, Markdown files."""
 
 from __future__ import annotations
 
@@ -10,11 +10,13 @@ from html.parser import HTMLParser
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from tidewarden.functions import keys, numbers, text
+from tidewarden.storage import sized, written
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -29,17 +31,34 @@ def json_lines(spark: SparkSession, path: str, schema: T.StructType | str) -> Da
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
-def tolerant_json_lines(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(rows: line, value as a map of dotted names; errors: line, the first 300 characters)."""
-    lines = spark.read.text(path, wholetext=True).select(
-        F.posexplode(F.split("value", "\n")).alias("at", "raw")
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line, value): lines of text files with their number from 1, as a serial reader
+    counts them, blank ones too.
+
+    A large file is read in splits, as many tasks. Lines of a split are in order, and a first
+    pass counts them: a row a split, whose sums before it are where its numbers start.
+    """
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("at"),
+        "value",
     )
-    lines = lines.where(F.trim("raw") != "").select((F.col("at") + 1).alias("line"), F.trim("raw").alias("raw"))
+    splits = lines.groupBy("file", "block").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    before = W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    starts = written(splits.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))), "line-starts")
+    starts = sized(starts, starts.count(), 300)
+    return lines.join(starts, ["file", "block"]).select("file", (F.col("start") + F.col("at") - F.col("first") + 1).alias("line"), "value")
+
+
+def tolerant_json_lines(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(rows: file, line, value as a map; errors: file, line, the first 300 characters)."""
+    lines = numbered_lines(spark, path).where(F.trim("value") != "").select("file", "line", F.trim("value").alias("raw"))
     parsed = lines.withColumn("v", F.try_parse_json("raw"))
-    bad = parsed.where("v is null").select("line", F.substring("raw", 1, 300).alias("start"))
+    bad = parsed.where("v is null").select("file", "line", F.substring("raw", 1, 300).alias("start"))
     is_object = F.schema_of_variant("v").startswith("OBJECT")
     wrapped = F.when(is_object, F.col("raw")).otherwise(F.concat(F.lit('{"value":'), F.col("raw"), F.lit("}")))
-    good = parsed.where("v is not null").select("line", F.from_json(wrapped, "map<string,string>").alias("value"))
+    good = parsed.where("v is not null").select("file", "line", F.from_json(wrapped, "map<string,string>").alias("value"))
     return good, bad
 
 
@@ -93,7 +112,11 @@ def padi_url(base: str, today, days: int = 7, **fixed: str) -> str:
 
 def padi_pages(spark: SparkSession, path: str) -> DataFrame:
     """Articles of saved API pages; those without id or address go."""
-    pages = spark.read.schema(PADI_PAGE).option("multiLine", True).json(path)
+    return padi_items(spark.read.schema(PADI_PAGE).option("multiLine", True).json(path))
+
+
+def padi_items(pages: DataFrame) -> DataFrame:
+    """Articles that pages list, each once."""
     items = pages.select(F.explode("results").alias("r")).select("r.*")
     return items.where("id is not null and url is not null").dropDuplicates(["id"]).select(
         F.lit("padi_web").alias("source_id"),
@@ -305,74 +328,5 @@ def nested_json(spark: SparkSession, path: str, schema: T.StructType | str) -> D
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
 
-_TURTLE = re.compile(
-    r"""\s*(?:(?P<comment>\#[^\n]*)|(?P<iri><[^>]*>)|(?P<text>"(?:[^"\\]|\\.)*")(?:\^\^(?P<type>[\w:-]+|<[^>]*>)|@[\w-]+)?"""
-    r"""|(?P<prefix>@prefix)|(?P<name>[\w-]*:[\w./|%-]*[\w|%-]|[\w-]+:)|(?P<a>\ba\b)|(?P<number>[+-]?\d+(?:\.\d+)?)|(?P<flag>true|false)|(?P<mark>[;,.]))""",
-    re.VERBOSE,
-)
-TRIPLE_SCHEMA = "s string, p string, o string, kind string, datatype string, graph string"
-
-
-def parse_turtle(body: str, graph: str) -> list[tuple]:
-    """Triples of a Turtle document: prefixes, lists by ; and ``,``, typed literals."""
-    out, subject, predicate, skip, at = [], None, None, 0, 0
-    while at < len(body):
-        m = _TURTLE.match(body, at)
-        if not m:
-            if body[at:].strip():
-                raise ValueError(f"no Turtle at character {at}: {body[at : at + 40]!r}")
-            break
-        at = m.end()
-        kind = m.lastgroup if m.lastgroup != "type" else "text"
-        if kind == "comment":
-            continue
-        if kind == "prefix":
-            skip = 3  # name, address, full stop
-            continue
-        if skip:
-            skip -= 1
-            continue
-        if kind == "mark":
-            if m["mark"] == ".":
-                subject = predicate = None
-            elif m["mark"] == ";":
-                predicate = None
-            continue
-        term = m["a"] and "rdf:type" or m["iri"] or m["name"] or m["text"] or m["number"] or m["flag"]
-        if subject is None:
-            subject = term
-        elif predicate is None:
-            predicate = term
-        elif m["text"]:
-            value = bytes(term[1:-1], "utf-8").decode("unicode_escape").encode("latin-1", "surrogatepass").decode("utf-8") if "\\" in term else term[1:-1]
-            out.append((subject, predicate, value, "literal", m["type"], graph))
-        elif m["number"]:
-            kind_of = "xsd:decimal" if "." in term else "xsd:integer"
-            out.append((subject, predicate, term, "literal", kind_of, graph))
-        elif m["flag"]:
-            out.append((subject, predicate, term, "literal", "xsd:boolean", graph))
-        else:
-            out.append((subject, predicate, term, "iri", None, graph))
-    return out
-
-
-def turtle(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(triples, errors: file, message) of Turtle files; a bad file does not stop others."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for file, value in zip(batch["file"], batch["value"], strict=True):
-                try:
-                    rows += [(*t, None) for t in parse_turtle(value, file.rsplit("/", 1)[-1])]
-                except ValueError as problem:
-                    rows.append((file, None, None, None, None, None, str(problem)))
-            yield pd.DataFrame(rows, columns=["s", "p", "o", "kind", "datatype", "graph", "error"])
-
-    every = whole_files(spark, path).mapInPandas(run, f"{TRIPLE_SCHEMA}, error string")
-    good = every.where("error is null").drop("error").dropDuplicates()
-    return good, every.where("error is not null").select(F.col("s").alias("file"), F.col("error").alias("message"))
-
-
 def german_publication(c: Column) -> Column:
     return numbers.german_date(c)

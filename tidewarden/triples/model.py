@@ -53,8 +53,8 @@ def as_set(triples: DataFrame) -> DataFrame:
 
 
 def union(*graphs: DataFrame) -> DataFrame:
-    """Triples of several graphs, each once."""
+    """Triples of several graphs, each once; those of graphs without languages have none."""
     out = graphs[0]
     for g in graphs[1:]:
-        out = out.unionByName(g)
+        out = out.unionByName(g, allowMissingColumns=True)
     return as_set(out)
