@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from tidewarden.plans import pipeline
 from tidewarden.operators import relevance
 from tidewarden.streaming import events as streams
+from tidewarden.streaming.keyed_state import KeyedState
 
 STATE = "source string, stage string, record_key string, fingerprint string, processed_at bigint"
 
@@ -23,11 +24,11 @@ def files(spark, folder, *batches, schema):
 def test_state_goes_on_over_runs(spark, tmp_path):
     src, check = str(tmp_path / "in"), str(tmp_path / "check")
     schema = files(spark, src, [("n", "p", "a", "1", 1), ("n", "p", "b", "1", 1)], schema=STATE)
-    held = streams.KeyedState(spark, str(tmp_path / "state"), STATE)
+    held = KeyedState(spark, str(tmp_path / "state"), STATE)
     streams.run_available(streams.stream(spark, src, schema), held.upsert, check)
     assert rows(held.read()) == [("n", "p", "a", "1", 1), ("n", "p", "b", "1", 1)]
     files(spark, src, [("n", "p", "a", "2", 5)], [("n", "p", "a", "old", 0)], schema=STATE)
-    held = streams.KeyedState(spark, str(tmp_path / "state"), STATE)  # as after a restart
+    held = KeyedState(spark, str(tmp_path / "state"), STATE)  # as after a restart
     streams.run_available(streams.stream(spark, src, schema), held.upsert, check)
     assert rows(held.read()) == [("n", "p", "a", "2", 5), ("n", "p", "b", "1", 1)]
 

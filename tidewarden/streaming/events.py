@@ -13,8 +13,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tidewarden.operators.incremental import upsert_state
-
 
 def stream(spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int = 1) -> DataFrame:
     """Files of a folder as they come."""
@@ -27,49 +25,6 @@ def run_available(df: DataFrame, each: Callable[[DataFrame, int], None], checkpo
     writer.trigger(availableNow=True).start().awaitTermination()
 
 
-class KeyedState:
-    """A keyed table that batches upsert: numbered versions beside each other, the last whole
-    one current.
-
-    State lives in its folder alone, so after a restart the stream's checkpoint and the state
-    go on together; a batch that comes again upserts what is there already.
-    """
-
-    def __init__(self, spark: SparkSession, path: str, schema: T.StructType | str):
-        self.spark, self.path, self.schema = spark, path, schema
-
-    @property
-    def current(self) -> str | None:
-        number = self._last()
-        return None if number is None else self._version(number)
-
-    def _version(self, number: int) -> str:
-        return f"{self.path}/version-{number:012d}"
-
-    def _last(self) -> int | None:
-        """Number of the last version whose writer committed."""
-        jvm = self.spark._jvm
-        folder = jvm.org.apache.hadoop.fs.Path(self.path)
-        system = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not system.exists(folder):
-            return None
-        names = (s.getPath().getName() for s in system.listStatus(folder))
-        numbers = sorted((int(n[8:]) for n in names if n.startswith("version-")), reverse=True)
-        whole = lambda n: system.exists(jvm.org.apache.hadoop.fs.Path(f"{self._version(n)}/_SUCCESS"))
-        return next(filter(whole, numbers), None)
-
-    def read(self) -> DataFrame:
-        current = self.current
-        if current is None:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(current)
-
-    def upsert(self, batch: DataFrame, _: int = 0) -> None:
-        last = self._last()
-        target = self._version(0 if last is None else last + 1)
-        upsert_state(self.read(), batch).write.mode("overwrite").parquet(target)
-
-
 def with_dead_letters(
     batch: DataFrame, ok: str, good: Callable[[DataFrame], None], bad: Callable[[DataFrame], None]
 ) -> None:
