@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import cache
 
+import ahocorasick
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -98,6 +100,67 @@ def first_match(text: Column, pattern: str) -> Column:
     return F.get(F.transform(F.array(F.split(text, pattern, 2)), place), F.lit(0))
 
 
+@cache
+def _folding() -> dict[int, str]:
+    """Each letter that differs from others in case only, to the least of these."""
+    return {ord(c): group[0] for c, group in _cases().items()}
+
+
+def is_word(c: str) -> bool:
+    """Whether ``\\w`` takes a character, of any script."""
+    return c.isalnum() or c == "_"
+
+
+class Terms:
+    """An automaton of all terms, letters folded to one case."""
+
+    def __init__(self, terms: Sequence[str], acronyms: Sequence[str]):
+        self.sizes = [len(t) for t in terms]
+        self.guarded = [t in set(acronyms) for t in terms]
+        self.automaton = ahocorasick.Automaton()
+        same: dict[str, list[int]] = {}
+        for i, term in enumerate(terms):
+            same.setdefault(term.translate(_folding()), []).append(i)
+        self.blank = same.pop("", [])
+        for term, own in same.items():
+            self.automaton.add_word(term, own)
+        if same:
+            self.automaton.make_automaton()
+
+    def first_places(self, text: str) -> list[dict]:
+        """(at, start, end) of the first place of each term that occurs, in the order of terms."""
+        found = {i: 0 for i in self.blank}
+        for last, own in self.automaton.iter(text.translate(_folding())) if len(self.automaton) else ():
+            for i in own:
+                if i not in found:
+                    start = last + 1 - self.sizes[i]
+                    touched = self.guarded[i] and (
+                        start > 0 and is_word(text[start - 1]) or last + 1 < len(text) and is_word(text[last + 1])
+                    )
+                    if not touched:
+                        found[i] = start
+        return [{"at": i, "start": found[i], "end": found[i] + self.sizes[i]} for i in sorted(found)]
+
+
+PLACES = T.ArrayType(T.StructType([T.StructField(n, T.IntegerType()) for n in ("at", "start", "end")]))
+
+
+def first_places(body: Column, terms: Sequence[str], acronyms: Sequence[str] = ()) -> Column:
+    """Array of (at, start, end): the first place of each term that occurs, in any case and in
+    code points; an acronym must not touch word characters. One pass for all terms, in Arrow
+    batches, however many there are."""
+    terms, acronyms = list(terms), list(acronyms)
+    kind = pa.list_(pa.struct([("at", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
+
+    @F.arrow_udf(PLACES)
+    def find(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        automaton = Terms(terms, acronyms)
+        for some in texts:
+            yield pa.array([automaton.first_places(t or "") for t in some.to_pylist()], kind)
+
+    return find(body)
+
+
 def window_text(text: Column, start: Column, end: Column) -> Column:
     """Characters start up to end, white space collapsed."""
     return collapse_space(F.substring(text, start + 1, end - start))

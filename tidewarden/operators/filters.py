@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewarden.functions.text import FLAGS
+from tidewarden.operators.selection import quantiles
 
 
 def all_of(conditions: Sequence[Column]) -> Column:
@@ -69,9 +70,9 @@ def any_known(columns: Sequence[str]) -> Column:
 
 
 def quantile_trim(df: DataFrame, column: str, low: float = 0.01, high: float = 0.99) -> DataFrame:
-    """Rows within two quantiles of a column, which one aggregate finds."""
-    ends = df.agg(F.percentile(column, F.array(F.lit(low), F.lit(high))).alias("q")).first()["q"]
-    return df.limit(0) if ends is None else df.where(F.col(column).between(ends[0], ends[1]))
+    """Rows within two exact quantiles of a column."""
+    first, last = quantiles(df, column, (low, high))
+    return df.limit(0) if first is None else df.where(F.col(column).between(first, last))
 
 
 def valid_coordinates(lat: Column, lon: Column) -> Column:

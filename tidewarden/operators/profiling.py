@@ -5,36 +5,56 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidewarden.operators import selection
+
+
+#: Bytes of a value's text that are compared themselves; of a longer one its SHA-256 is.
+SHOWN = 64
+
 
 def _comparable(df: DataFrame, name: str) -> Column:
-    """A column, nested values as JSON so that they can be told apart."""
-    nested = isinstance(df.schema[name].dataType, (T.ArrayType, T.StructType, T.MapType))
-    return F.to_json(name) if nested else F.col(name)
+    """A column's values as texts that differ where the values do."""
+    kind, c = df.schema[name].dataType, F.col(name)
+    if isinstance(kind, (T.ArrayType, T.StructType, T.MapType)):
+        text = F.to_json(name)
+    elif isinstance(kind, (T.DoubleType, T.FloatType)):
+        text = (c + F.lit(0).cast(kind)).cast("string")  # both zeros are one
+    elif isinstance(kind, T.TimestampType):
+        text = F.unix_micros(c).cast("string")  # one local time may come twice
+    elif isinstance(kind, T.BinaryType):
+        text = F.hex(c)
+    else:
+        text = c.cast("string")
+    return F.when(F.octet_length(text) <= SHOWN, F.concat(F.lit("="), text)).otherwise(F.sha2(text, 256))
+
+
+def distinct_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(place, known, n_unique) of columns by their place from 0; those without values are left
+    out. A row is a (place, text) pair for each column, counted by one exchange with partial
+    sums: its rows are a task's distinct values, and of bounded size."""
+    pairs = [F.struct(F.lit(i).alias("place"), _comparable(df, c).alias("value")) for i, c in enumerate(columns)]
+    values = df.select(F.inline(F.array(*pairs))).where("value is not null")
+    each = values.groupBy("place", "value").agg(F.count("*").alias("n"))
+    return each.groupBy("place").agg(F.sum("n").alias("known"), F.count("*").alias("n_unique"))
 
 
 def schema_profile(df: DataFrame) -> DataFrame:
-    """(column_name, kind, missing, missing_percent, n_unique), in one aggregate."""
-    aggregates = [F.count("*").alias("rows")]
-    for i, name in enumerate(df.columns):
-        aggregates.append(F.sum(F.col(name).isNull().cast("bigint")).alias(f"m{i}"))
-        aggregates.append(F.count_distinct(_comparable(df, name)).alias(f"u{i}"))
-    one = df.agg(*aggregates)
-    entries = [
-        F.struct(
-            F.lit(name).alias("column_name"),
-            F.lit(kind).alias("kind"),
-            F.coalesce(f"m{i}", F.lit(0)).alias("missing"),
-            F.when(F.col("rows") > 0, F.round(100 * F.col(f"m{i}") / F.col("rows"), 2))
-            .otherwise(0.0)
-            .alias("missing_percent"),
-            F.col(f"u{i}").alias("n_unique"),
-        )
-        for i, (name, kind) in enumerate(df.dtypes)
-    ]
-    return one.select(F.inline(F.array(*entries)))
+    """(column_name, kind, missing, missing_percent, n_unique)."""
+    names = [F.struct(F.lit(i).alias("at"), F.lit(n).alias("column_name"), F.lit(k).alias("kind")) for i, (n, k) in enumerate(df.dtypes)]
+    total = df.agg(F.count("*").alias("rows")).select("rows", F.inline(F.array(*names)))
+    counts = distinct_counts(df, df.columns)
+    missing = F.col("rows") - F.coalesce("known", F.lit(0))
+    return total.join(F.broadcast(counts), F.col("at") == F.col("place"), "left").select(
+        "column_name",
+        "kind",
+        missing.alias("missing"),
+        F.when(F.col("rows") > 0, F.round(100 * missing / F.col("rows"), 2)).otherwise(0.0).alias("missing_percent"),
+        F.coalesce("n_unique", F.lit(0)).alias("n_unique"),
+    )
 
 
 def date_coverage(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -59,22 +79,23 @@ def date_coverage(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def overview(df: DataFrame, distinct: Sequence[str], date: str) -> DataFrame:
-    return df.agg(
-        F.count("*").alias("n_rows"),
-        *(F.count_distinct(c).alias(f"n_{c}") for c in distinct),
-        F.min(date).alias("first_date"),
-        F.max(date).alias("last_date"),
+    """One row: n_rows, n_ of the distinct values of each column, first_date, last_date."""
+    one = df.agg(F.count("*").alias("n_rows"), F.min(date).alias("first_date"), F.max(date).alias("last_date"))
+    counts = distinct_counts(df, distinct).agg(
+        *(F.coalesce(F.max(F.when(F.col("place") == i, F.col("n_unique"))), F.lit(0)).alias(f"n_{c}") for i, c in enumerate(distinct))
     )
+    return one.join(F.broadcast(counts)).select("n_rows", *(f"n_{c}" for c in distinct), "first_date", "last_date")
 
 
 def describe(df: DataFrame, column: str, quantiles: Sequence[float] = (0.25, 0.5, 0.75)) -> DataFrame:
     """Count, mean, deviation, least, exact quantiles, greatest."""
+    found = selection.quantiles(df, column, quantiles)
     return df.agg(
         F.count(column).alias("n"),
         F.avg(column).alias("mean"),
         F.stddev_samp(column).alias("std"),
         F.min(column).alias("least"),
-        *(F.percentile(column, F.lit(q)).alias(f"q{round(q * 100):02d}") for q in quantiles),
+        *(F.lit(v).cast("double").alias(f"q{round(q * 100):02d}") for q, v in zip(quantiles, found, strict=True)),
         F.max(column).alias("greatest"),
     )
 
@@ -87,13 +108,10 @@ def duplicates(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def key_check(df: DataFrame, column: str) -> DataFrame:
     """Known, distinct and repeated values of what should be a key."""
-    known = F.count(column)
-    return df.agg(
-        F.count("*").alias("n_rows"),
-        known.alias("n_known"),
-        F.count_distinct(column).alias("n_unique"),
-        (known - F.count_distinct(column)).alias("n_repeated"),
-    )
+    counts = distinct_counts(df, [column])
+    known, unique = (F.coalesce(c, F.lit(0)) for c in ("known", "n_unique"))
+    one = df.agg(F.count("*").alias("n_rows")).join(F.broadcast(counts), how="left", on=F.col("place") == 0)
+    return one.select("n_rows", known.alias("n_known"), unique.alias("n_unique"), (known - unique).alias("n_repeated"))
 
 
 def funnel(stages: Sequence[tuple[str, DataFrame]]) -> DataFrame:
@@ -132,9 +150,24 @@ def text_extremes(df: DataFrame, column: str, n: int, key: str, longest: bool =
     return df.where(F.col(column).isNotNull()).orderBy(order, key).limit(n)
 
 
-def sample(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
-    """n rows by a keyed hash: the same ones each time."""
-    return df.orderBy(F.xxhash64(F.lit(seed), key), key).limit(n)
+def sample_rank(key: str, seed: int) -> Column:
+    """Where a row stands in a sample: the MD5 of seed and key, the same in every engine."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(key).cast("string"), F.lit(""))))
+
+
+def sample(df: DataFrame, n: int, key: str, seed: int = 42, by: str | None = None) -> DataFrame:
+    """n rows, of each group ``by`` a column if one is given: those of the least MD5s, ties by key.
+
+    Such samples can be merged: that of a union is that of its parts' samples. So tasks keep n
+    rows a group before an exchange, and hot groups meet in shares before they meet whole.
+    """
+    if by is None:
+        return df.orderBy(sample_rank(key, seed), key).limit(n)
+    ranked = df.withColumn("__rank", sample_rank(key, seed))
+    for share in (F.substring("__rank", 1, 1), F.lit("")):
+        order = W.partitionBy(by, share).orderBy("__rank", key)
+        ranked = ranked.withColumn("__place", F.row_number().over(order)).where(F.col("__place") <= n)
+    return ranked.drop("__rank", "__place")
 
 
 def existing(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -74,20 +74,11 @@ def haystack(*parts: Column) -> Column:
 
 def term_hits(body: Column, rules: Rules) -> Column:
     """Array of (term, start, end): first place of every term that occurs, in order."""
-    places = F.array(
-        *(
-            F.struct(
-                F.lit(term).alias("term"),
-                text.first_match(body, text.term_pattern(term, rules.acronyms)).alias("place"),
-            )
-            for term in rules.terms
-        )
-    )
-    found = F.filter(places, lambda h: h["place"].isNotNull())
+    terms = F.array(*map(F.lit, rules.terms))
     return F.transform(
-        found,
+        text.first_places(body, rules.terms, rules.acronyms),
         lambda h: F.struct(
-            h["term"].alias("term"), h["place"]["start"].alias("start"), h["place"]["end"].alias("end")
+            F.get(terms, h["at"]).alias("term"), h["start"].alias("start"), h["end"].alias("end")
         ),
     )
 
@@ -114,8 +105,8 @@ def snippets(link: Column, body: Column, hits: Column, rules: Rules) -> Column:
 def assess(articles: DataFrame, body: Column, link: str = "source_link", rules: Rules = Rules()) -> DataFrame:
     """Articles with matched_terms, relevance_score, is_relevant and evidence_snippets.
 
-    The score counts all terms, also those whose snippet is left out. The rules stand
-    nowhere in a join: terms are literals of the plan.
+    The score counts all terms, also those whose snippet is left out. Texts are read once for
+    all terms; the rules stand nowhere in a join.
     """
     hits = articles.withColumn("__body", body).withColumn("__hits", term_hits(F.col("__body"), rules))
     return (
