@@ -136,9 +136,9 @@ def test_top_counts_label_missing(spark):
 
 
 def test_synthetic_counts_hold(spark):
-    df = synthetic.flyway_events(spark, 2000)
+    df = synthetic.flyway_events(spark.range(2000).withColumnRenamed("id", "event_id"))
     assert df.where("dead > cases or cases > susceptible or t < 0 or t > 1").count() == 0
-    assert rows(df.orderBy("event_id")) == rows(synthetic.flyway_events(spark, 2000).orderBy("event_id"))
+    assert rows(df.orderBy("event_id")) == rows(synthetic.flyway_events(spark.range(2000).withColumnRenamed("id", "event_id")).orderBy("event_id"))
     got = synthetic.nullable(df, "event_id", lat=10)
     assert got.where("lat is null").count() == 200
 

@@ -1,4 +1,8 @@
-"""Synthetic events: weighted streams along a path, counts with invariants, hotspots."""
+"""Synthetic events: weighted streams along a path, counts with invariants, hotspots.
+
+An event is made for each id of a table, from numbers that MD5 gives for seed, id and name, so
+that the same come out however rows are dealt, and in every engine.
+"""
 
 from __future__ import annotations
 
@@ -11,9 +15,9 @@ from tidewarden.operators.joins import piecewise
 
 
 def uniform(seed: int, *parts: Column | str) -> Column:
-    """A number in [0, 1) from a hash: the same for the same parts, however rows are dealt."""
-    bits = F.pmod(F.xxhash64(F.lit(seed), *parts), F.lit(1 << 52))
-    return bits / float(1 << 52)
+    """A number in [0, 1) from the first 52 bits of an MD5 over seed and parts."""
+    text = F.concat_ws(":", F.lit(str(seed)), *(F.col(p) if isinstance(p, str) else p for p in parts))
+    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("bigint") / float(1 << 52)
 
 
 def gaussian(seed: int, *parts: Column | str) -> Column:
@@ -44,10 +48,10 @@ def counts(population: Column, u: Column, v: Column, w: Column) -> tuple[Column,
     return susceptible, cases, dead
 
 
-def flyway_events(spark: SparkSession, n: int, seed: int = 42, days: int = 365) -> DataFrame:
-    """n events of weighted streams; time, place and counts from hashed uniforms."""
+def flyway_events(ids: DataFrame, seed: int = 42, days: int = 365) -> DataFrame:
+    """An event of weighted streams for each event_id; time, place and counts from uniforms."""
     path = ((0.0, 55.0), (0.4, 50.0), (0.7, 47.5), (1.0, 44.0))
-    rows = spark.range(n).withColumnRenamed("id", "event_id")
+    rows = ids.select("event_id")
     t = F.pow(uniform(seed, "event_id", F.lit("t")), 0.7)
     late = gaussian(seed, "event_id", F.lit("late")) * 3 / days
     rows = rows.withColumn("t", F.least(F.lit(1.0), F.greatest(F.lit(0.0), t + late)))
@@ -87,10 +91,9 @@ HOTSPOTS = (
 )
 
 
-def hotspot_events(spark: SparkSession, n: int = 1000, seed: int = 42) -> DataFrame:
-    """n events around hotspots, which are picked by cumulative weight."""
-    rows = spark.range(n).withColumnRenamed("id", "event_id")
-    rows = rows.withColumn(
+def hotspot_events(ids: DataFrame, seed: int = 42) -> DataFrame:
+    """An event for each event_id around hotspots, which are picked by cumulative weight."""
+    rows = ids.select("event_id").withColumn(
         "hotspot", pick(uniform(seed, "event_id", F.lit("h")), [(name, w) for name, _, _, w in HOTSPOTS])
     )
     lat = F.coalesce(*(F.when(F.col("hotspot") == name, F.lit(a)) for name, a, _, _ in HOTSPOTS))

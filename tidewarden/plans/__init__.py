@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-QUERY_MODULES = ("dashboard_queries", "profile_queries", "pipeline_queries", "export_queries", "function_queries")
+QUERY_MODULES = ("dashboard_queries", "profile_queries", "pipeline_queries", "export_queries", "function_queries", "store_queries", "file_queries")
 
 
 def load_all() -> None:

@@ -246,13 +246,6 @@ def share_by_population(spark, sf_dir):
     return stats.share(stats.total_by(cases(spark, sf_dir), "population", "value"), "total").select("population", "percent")
 
 
-@query("hotspot_events")
-def hotspot_events(spark, sf_dir):
-    from tidewarden.operators import synthetic
-
-    return synthetic.hotspot_events(spark).groupBy("hotspot").agg(F.count("*").alias("n"))
-
-
 @query(
     "peer_of_marker",
     f"""WITH {TRIPLES_SQL} SELECT b.event_id AS peer_id FROM k a JOIN k b ON a.situation_key = b.situation_key WHERE a.event_id = 7""",

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewarden.functions import geo, keys, numbers, text
-from tidewarden.operators import enrichment, filters, incremental, relevance, stats, synthetic
+from tidewarden.operators import enrichment, filters, incremental, relevance, stats
 from tidewarden.plans.cases import CASES_SQL, cases
 from tidewarden.plans.catalog import query, table
 from tidewarden.plans.pipeline_queries import RULES, SITUATION_SQL, TERMS_SQL, documents, keyed_cases
@@ -407,10 +407,3 @@ def head_and_rest(spark, sf_dir):
 def ids_without_label(spark, sf_dir):
     docs = documents(spark, sf_dir).select("doc_id")
     return incremental.missing_from(docs, table(spark, sf_dir, "labels"), "doc_id")
-
-
-@query("synthetic_invariants", "SELECT CAST(10000 AS BIGINT) AS n, CAST(0 AS BIGINT) AS broken")
-def synthetic_invariants(spark, sf_dir):
-    """Made-up outbreaks have no more deaths than cases."""
-    made = synthetic.flyway_events(spark, 10_000)
-    return made.agg(F.count("*").alias("n"), F.count(F.when(F.col("dead") > F.col("cases"), 1)).alias("broken"))

@@ -8,7 +8,7 @@ from tidewarden.functions import keys, numbers, text
 from tidewarden.operators import incremental, joins, listing, relevance
 from tidewarden.plans.cases import CASES_SQL, cases
 from tidewarden.plans.catalog import query
-from tidewarden.triples import match, model, quality
+from tidewarden.triples import match, model, quality, tables
 
 #: A vocabulary of words that the test documents hold.
 WORDS = ("worthless", "einlich", "oneas", "thanedble", "est", "ING", "keit", "ción")
@@ -434,13 +434,15 @@ def triples_by_class(spark, sf_dir):
 )
 def optional_nested_left(spark, sf_dir):
     t = case_triples(spark, sf_dir)
-    found = match.solve(t, [("?event", model.A, "ts:OutbreakEvent"), ("?event", "ts:referenceId", "?ref")])
-    found = match.optional(found, t, [("?event", "ts:belongsToSituation", "?situation")])
-    inner = match.optional(
-        match.solve(t, [("?event", "ts:occursAt", "?loc")]), t, [("?loc", "ts:adminLevel1Label", "?admin1")]
+    found = tables.star(
+        t,
+        "event",
+        {"ts:referenceId": "ref"},
+        {"ts:belongsToSituation": "situation", "ts:occursAt": "loc"},
+        {model.A: "ts:OutbreakEvent"},
     )
-    found = found.join(inner, "event", "left")
-    return found.select(F.col("ref").cast("bigint").alias("ref"), "situation", "loc", "admin1")
+    places = t.where("p = 'ts:adminLevel1Label'").select(F.col("s").alias("loc"), F.col("o").alias("admin1"))
+    return found.join(places, "loc", "left").select(F.col("ref").cast("bigint").alias("ref"), "situation", "loc", "admin1")
 
 
 @query(
@@ -521,48 +523,9 @@ def alias_situation_link(spark, sf_dir):
     return joins.link_reports(reports, situations, countries, diseases)
 
 
-@query("turtle_statements")
-def turtle_statements(spark, sf_dir):
-    from tidewarden.sinks.files import statement
-
-    return case_triples(spark, sf_dir).select(statement().alias("line"))
-
-
 @query("articles_from_html")
 def articles_from_html(spark, sf_dir):
     from tidewarden.sources import documents as sources
 
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("url").alias("source_link"), "html")
     return sources.articles(pages).select("source_link", "title", "error")
-
-
-@query("enriched_reports")
-def enriched_reports(spark, sf_dir):
-    """Reports of documents, enriched by a rule that stands in for a model."""
-    from pyspark.sql import types as T
-
-    from tidewarden.operators import enrichment
-
-    docs = documents(spark, sf_dir).select(
-        F.lit("news").alias("source_id"),
-        F.concat(F.lit("https://example.org/a/"), F.col("doc_id").cast("string")).alias("source_link"),
-        F.lit("").alias("raw_html_path"),
-        F.lit(None).cast("date").alias("publication_date"),
-        "text",
-    )
-    reports = relevance.extract_reports(docs, F.col("text"), RULES).withColumn("severity_level", F.lit(None).cast("string"))
-    fields = [T.StructField("severity_level", T.StringType())]
-    level = _Severity()
-    return enrichment.enrich(reports, level, fields).select("report_id", "severity_level", "_error")
-
-
-class _Severity:
-    def __call__(self, record: dict) -> dict:
-        return {"severity_level": "high" if record["rule_relevance_score"] > 2 else "low", "report_id": "ignored"}
-
-
-@query("synthetic_events")
-def synthetic_events(spark, sf_dir):
-    from tidewarden.operators import synthetic
-
-    return synthetic.flyway_events(spark, 10_000).select("event_id", "stream", "population", "susceptible", "cases", "dead")

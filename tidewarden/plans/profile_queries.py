@@ -333,6 +333,6 @@ def nearest_concept_cosine(spark, sf_dir):
     return found.select("vec_id", "concept", F.round("similarity", 6).alias("similarity"))
 
 
-@query("seeded_sample")
+@query("seeded_sample", "SELECT event_id FROM events ORDER BY md5('42:' || event_id), event_id LIMIT 50")
 def seeded_sample(spark, sf_dir):
     return profiling.sample(spark.read.parquet(f"{sf_dir}/events.parquet"), 50, "event_id").select("event_id")
