@@ -41,6 +41,23 @@ def test_edges(spark):
     assert by_id(repair.report(repair.undamaged(df)).collect()) == by_id(repair.brute_force(rows, damage=False))
 
 
+def test_sql_gives_the_same_on_edges():
+    import duckdb
+
+    rnd = random.Random(9)
+    rows = []
+    for i in range(500):
+        for t in range(rnd.randint(0, 8)):
+            turn = rnd.choice((t, t, t, None, 0, 3))
+            role, text = rnd.choice(("user", "assistant", "system", None, "tool", "User")), rnd.choice(("a.", "b", " ", None, "", "c!\n\t", "É…"))
+            rows.append((None if i % 40 == 0 else i, turn, role, text))
+    con = duckdb.connect()
+    con.sql("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", rows)
+    names = "conv_id, gaps, blank, duplicate, truncated, illegal, cost, audit, repaired_sha256"
+    assert by_id(con.sql(repair.ORACLE).select(names).fetchall()) == by_id(repair.brute_force(rows))
+
+
 def test_empty_table(spark):
     empty = frame(spark, []).limit(0)
     assert repair.report(repair.damaged(empty)).collect() == []

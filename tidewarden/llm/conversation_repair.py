@@ -449,6 +449,62 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
 
 
+def _inserted(state: str, role: str) -> str:
+    """SQL of a state with an inserted row: cost, audit, repaired rows."""
+    return f"{{'c': {state}.c + 3, 'a': {state}.a || 'I', 't': {state}.t || chr(10) || '{role}:'}}"
+
+
+def _read(state: str, letter: str, cost: str, role: str, when: str) -> str:
+    """SQL of a state that has read a row, out of reach unless ``when`` holds."""
+    return (
+        f"{{'c': {state}.c + CASE WHEN {when} THEN {cost} ELSE 1000000 END, 'a': {state}.a || '{letter}',"
+        f" 't': {state}.t || chr(10) || {role} || ':' || text}}"
+    )
+
+
+def _deleted(state: str) -> str:
+    return f"{{'c': {state}.c + 4, 'a': {state}.a || 'D', 't': {state}.t}}"
+
+
+def _arcs(states: str, letter: str, more: int, role: str, when: str) -> str:
+    return ", ".join(_read(q, letter, f"{more} + 3 * truncated::INT", role, when) for q in states.split())
+
+
+#: States of the closing over inserts: those of user rows first, then those of assistant rows.
+_CLOSED = f"""SELECT * REPLACE (least(a, {_inserted('u', 'assistant')}) AS a) FROM
+  (SELECT * REPLACE (least(u, {', '.join(_inserted(q, 'user') for q in 'nsa')}) AS u) FROM %s)"""
+#: Prefixes of a conversation, each state's cheapest and least edits kept: no automaton is made.
+ORACLE = f"""
+WITH RECURSIVE k AS (SELECT *, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+f AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, xor(list_reduce(list_prepend(4294967295::BIGINT,
+    flatten(list_transform(range(1, length(k) + 1), lambda i: [ascii(k[i])::BIGINT, 0, 0, 0, 0, 0, 0, 0]))),
+    lambda c, b: CASE WHEN xor(c, b) & 1 = 1 THEN xor(xor(c, b) >> 1, 3988292384) ELSE xor(c, b) >> 1 END), 4294967295) % 20 AS fault FROM k),
+d AS (SELECT conv_id, turn, CASE fault WHEN 4 THEN 'user' ELSE role END AS role,
+    CASE fault WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+  FROM f, unnest(range(CASE fault WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS c(copy)),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS i FROM d),
+x AS (SELECT *, left(role, 1) AS ini, NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') AS blank,
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS seen,
+    NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*\\z') AS cut, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM o),
+y AS (SELECT *, blank OR seen AS gone, NOT blank AND NOT seen AND cut AS truncated FROM x),
+e AS (SELECT {{'c': 0::BIGINT, 'a': '', 't': ''}} AS yes, {{'c': 1000000::BIGINT, 'a': '', 't': ''}} AS no),
+w AS (SELECT conv_id, 0::BIGINT AS i, yes AS n, no AS s, no AS u, no AS a FROM (SELECT DISTINCT conv_id FROM conversations), e
+  UNION ALL SELECT conv_id, i + 1, {_deleted('n')},
+    least({_deleted('s')}, {_arcs('n', 'K', 0, 'role', "NOT gone AND ini = 's'")}),
+    least({_deleted('u')}, {_arcs('n s a', 'K', 0, 'role', "NOT gone AND ini = 'u'")}, {_arcs('n s a', 'R', 3, "'user'", "NOT gone")}),
+    least({_deleted('a')}, {_arcs('u', 'K', 0, 'role', "NOT gone AND ini = 'a'")}, {_arcs('u', 'R', 3, "'assistant'", "NOT gone")})
+  FROM ({_CLOSED % "(SELECT w.*, y.role, y.text, y.ini, y.gone, y.truncated FROM w JOIN y ON y.conv_id IS NOT DISTINCT FROM w.conv_id AND y.i = w.i + 1)"})),
+z AS (SELECT conv_id, least(n, a) AS best FROM ({_CLOSED % "(SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY i DESC) = 1)"})),
+g AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank,
+    count(*) FILTER (NOT blank AND seen) AS duplicate, count(*) FILTER (truncated) AS truncated,
+    count(*) FILTER (before IS NOT NULL AND before || ini NOT IN ('su', 'ua', 'au')) AS illegal FROM y GROUP BY conv_id)
+SELECT z.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank, CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate,
+  CAST(coalesce(truncated, 0) AS BIGINT) AS truncated, CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, CAST(best.c AS BIGINT) AS cost, best.a AS audit,
+  sha256(substr(best.t, 2)) AS repaired_sha256
+FROM z LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM z.conv_id
+""".replace("\\\\", "\\")
+
+
 def brute_force(rows: list[tuple], damage: bool = True) -> list[tuple]:
     """The report of rows (conv_id, turn, role, text), each prefix's cheapest and least edits kept
     for each of four states, as tuples of cost, audit and repaired rows."""

@@ -49,6 +49,7 @@ def oracle_sql() -> dict[str, str]:
         "op4_secret_scan": secret_scan.ORACLE,
         "op8_url_filters": url_filters.ORACLE,
         "op9_quality_rules": quality_rules.ORACLE,
+        "op11_conversation_repair": conversation_repair.ORACLE,
         "op13_collocations": collocations.ORACLE,
     }
     if corpus_pipeline.ORACLE_SQL:
