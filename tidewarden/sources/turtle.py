@@ -74,7 +74,7 @@ PARSED_ARROW = pa.schema([(c, pa.string()) for c in ("s", "p", "o", "kind", "dat
 
 def after_line(line: str, state: int) -> tuple[int, bool]:
     """The state after a line that begins in ``state``, and whether a statement ends with it."""
-    if state == OUTSIDE and '"""' not in line and "'''" not in line and not line.rstrip().endswith("."):
+    if state == OUTSIDE and '"""' not in line and "'''" not in line and "#" not in line and not line.rstrip().endswith("."):
         return state, False
     at, last = 0, ""
     while at < len(line):
