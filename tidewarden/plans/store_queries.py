@@ -15,7 +15,7 @@ from tidewarden.sinks import files
 from tidewarden.sources import turtle
 from tidewarden.storage import scratch
 from tidewarden.streaming.keyed_state import KeyedState
-from tidewarden.triples import match, model
+from tidewarden.triples import match, model, quality
 from tidewarden.triples.tables import GraphTables
 
 #: Short names of the namespaces that the queries write.
@@ -100,6 +100,27 @@ def turtle_forms(spark, sf_dir):
     return found.select(F.substring_index("e", "_", -1).cast("bigint").alias("event_id"), "country", "first", "note")
 
 
+SHAPES_TEXT = f"""@prefix sh: <{quality.SHACL}> . @prefix ts: <{NAMES['ts']}> .
+ts:EventShape a sh:NodeShape ; sh:targetClass ts:OutbreakEvent ;
+  sh:property [ sh:path ts:referenceId ; sh:minCount 1 ] , [ sh:path ts:hasDisease ; sh:minCount 1 ] ;
+  sh:property [ sh:path ts:occursAt ; sh:minCount 1 ] ; sh:property [ sh:path ts:belongsToSituation ; sh:minCount 1 ] ;
+  sh:property [ sh:path ts:optionalNote ; sh:minCount 0 ] .
+ts:SituationShape a sh:NodeShape ; sh:targetClass ts:OutbreakSituation ; sh:property [ sh:path ts:hasSituationKey ; sh:minCount 1 ] ."""
+
+
+@query(
+    "shapes_of_file",
+    f"""WITH {TRIPLES_SQL} SELECT 'tsd:event_' || event_id AS node, 'ts:OutbreakEvent' AS class, 'ts:occursAt' AS missing FROM k WHERE place IS NULL
+    UNION ALL SELECT 'tsd:event_' || event_id, 'ts:OutbreakEvent', 'ts:belongsToSituation' FROM k WHERE situation IS NULL""",
+)
+def shapes_of_file(spark, sf_dir):
+    """Cases against shapes that are read from a Turtle file."""
+    path = scratch(spark, "shapes")
+    spark.createDataFrame([(SHAPES_TEXT,)], "value string").write.text(path)
+    found, _ = turtle.read(spark, path, NAMES | {"sh": quality.SHACL})
+    return quality.shape_violations(case_triples(spark, sf_dir), quality.read_shapes(found))
+
+
 STATE = "source string, stage string, record_key string, fingerprint string, processed_at bigint"
 #: Batches of the state queries: all events, by their type.
 BATCHES_SQL = """b AS (SELECT CAST(user_id AS VARCHAR) AS record_key, event_type AS fingerprint, epoch_us(ts) AS processed_at,

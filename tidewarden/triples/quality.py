@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewarden.operators.filters import valid_coordinates, well_formed_key
+from tidewarden.triples import match
 from tidewarden.triples.model import A
 
 #: Required predicates by class, fixed values.
@@ -32,6 +33,22 @@ SHAPES = {
 }
 
 
+#: Namespace of shapes.
+SHACL = "http://www.w3.org/ns/shacl#"
+
+
+def read_shapes(triples: DataFrame) -> dict[str, tuple[str, ...]]:
+    """Required predicates of each class, from shapes that a Turtle reader read: properties with
+    a path and a least count of one or more. ``sh`` is the short name of their namespace.
+
+    Shapes are a vocabulary: a row for each property of each class comes to the driver.
+    """
+    patterns = [("?shape", "sh:targetClass", "?class"), ("?shape", "sh:property", "?p"), ("?p", "sh:path", "?path"), ("?p", "sh:minCount", "?n")]
+    found = match.solve(triples.where(F.startswith("p", F.lit("sh:"))), patterns)
+    rows = found.where(F.col("n").try_cast("int") >= 1).select("class", "path").distinct().collect()
+    return {c: tuple(sorted(r.path for r in rows if r["class"] == c)) for c in sorted({r["class"] for r in rows})}
+
+
 def shape_violations(triples: DataFrame, shapes: dict[str, tuple[str, ...]] = SHAPES) -> DataFrame:
     """(node, class, missing): required predicates that a node of a class lacks.
 
