@@ -523,7 +523,11 @@ def alias_situation_link(spark, sf_dir):
     return joins.link_reports(reports, situations, countries, diseases)
 
 
-@query("articles_from_html")
+@query(
+    "articles_from_html",
+    r"""SELECT url AS source_link, trim(replace(replace(replace(replace(replace(regexp_replace(regexp_extract(html, '<h1>(.*?)</h1>', 1), '<[^>]*>', '', 'g'),
+      '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', ''''), '&amp;', '&')) AS title, CAST(NULL AS VARCHAR) AS error FROM pages""",
+)
 def articles_from_html(spark, sf_dir):
     from tidewarden.sources import documents as sources
 
