@@ -21,8 +21,10 @@ Texts are parted into words once: pass 1 writes each batch as its different word
 numbers in a row, which later passes read. Exact counts are of words themselves: within a
 task, words have numbers, and numbers of phrases are made of those of their parts. Tasks hand
 on sums for each phrase, never rows for each place, so a word with a third of all places is a
-row a task. Scores are joined by phrase, and each language's first rows are taken in two
-steps, by hashes of phrases and then whole.
+row a task. Counters and sums cost a task the same however little it reads, so a pass has no
+more tasks than keep all cores busy for WAVES rounds; its parts are read one after another.
+Scores are joined by phrase, and each language's first rows are taken in two steps, by hashes of
+phrases and then whole. Tables of passes are removed when they have been read.
 
 Defined cases: a null text is empty, a null lang is ``und``; words are compared by their UTF-8
 bytes; phrases of one score and frequency stand in order of these bytes; a language without
@@ -43,7 +45,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tidewarden.llm.shared import scratch_path, small_batches, written
+from tidewarden.llm.shared import remove, scratch_path, small_batches, written
 
 MIN_COUNT = 30
 LONGEST = 4
@@ -58,9 +60,11 @@ BUCKET_BYTES = 16
 #: Counters that tasks hand on at once, as one row.
 BLOCK = 1 << 13
 #: Words and phrases whose counts a task holds before it hands them on.
-HELD = 400_000
+HELD = 600_000
 #: Words that a task numbers before it starts anew.
-NUMBERED = 2_000_000
+NUMBERED = 1_000_000
+#: Tasks of a pass for each core.
+WAVES = 2
 #: Tasks that share the buckets of a language in the first step of ranking.
 SHARES = 16
 #: Ends of pieces, and words; fixed values of the contract.
@@ -221,8 +225,8 @@ def out_batch(**columns: list) -> pa.RecordBatch:
 
 def passed(
     rows: DataFrame, k: int, least: int, n_buckets: int, last: bool, maps: Broadcast | None
-) -> DataFrame:
-    """What tasks find in pass k, written: over texts (lang, text) in the first, then over the
+) -> tuple[DataFrame, str]:
+    """What tasks find in pass k, written, and where: over texts (lang, text) in the first, then over the
     numbers of words (lang, words, places) that it wrote."""
     small_batches(rows.sparkSession)
 
@@ -252,8 +256,9 @@ def passed(
         yield from own.blocks()
 
     path = scratch_path(rows.sparkSession, f"collocations-pass-{k}")
+    rows = rows.coalesce(WAVES * rows.sparkSession.sparkContext.defaultParallelism)
     rows.mapInArrow(run, PASSED_SCHEMA).write.option("compression", "zstd").parquet(path)
-    return rows.sparkSession.read.schema(PASSED_SCHEMA).parquet(path)
+    return rows.sparkSession.read.schema(PASSED_SCHEMA).parquet(path), path
 
 
 def folded(blocks: DataFrame, counters: bool, least: int, n_buckets: int) -> DataFrame:
@@ -328,9 +333,10 @@ def counted(docs: DataFrame, least: int, longest: int, most: int) -> tuple[DataF
     docs = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), "text")
     n_buckets = buckets_for(docs, most)
     maps: list[np.ndarray] = []
-    shared, totals, found, rows = None, None, [], docs
+    shared, totals, found, rows, paths = None, None, [], docs, []
     for k in range(1, longest + 1):
-        made = passed(rows, k, least, n_buckets, k == longest, shared)
+        made, path = passed(rows, k, least, n_buckets, k == longest, shared)
+        paths.append(path)
         if shared:
             shared.destroy()
         sums = made.where("phrase is not null")
@@ -348,6 +354,9 @@ def counted(docs: DataFrame, least: int, longest: int, most: int) -> tuple[DataF
                 bitmap(folded(blocks, True, least, n_buckets), n_buckets),
             ]
             shared = context.broadcast(maps)
+        if k > 1:
+            remove(docs.sparkSession, paths.pop())
+    remove(docs.sparkSession, paths.pop())
     out = found[0]
     for own in found[1:]:
         out = out.unionByName(own)
