@@ -60,9 +60,9 @@ BUCKET_BYTES = 16
 #: Counters that tasks hand on at once, as one row.
 BLOCK = 1 << 13
 #: Words and phrases whose counts a task holds before it hands them on.
-HELD = 600_000
+HELD = 400_000
 #: Words that a task numbers before it starts anew.
-NUMBERED = 1_000_000
+NUMBERED = 700_000
 #: Tasks of a pass for each core.
 WAVES = 2
 #: Tasks that share the buckets of a language in the first step of ranking.
