@@ -166,3 +166,11 @@ def test_prompt_schema():
     assert config.prompt_schema("# Output schema\n- a (float): x").names == ["a"]
     with pytest.raises(ValueError):
         config.prompt_schema("nothing")
+
+
+def test_articles_with_closed_references_only(spark):
+    page = "<script>a && b</script><!-- <script> --><h1 class='a&amp;b&ampc'>R&ampD &amp;&lt;&#65;&#66 &nosuch; & &amp</h1><div id='text'><p>x &amp y</p></div>"
+    df = spark.createDataFrame([("u", page)], "source_link string, html string")
+    r = documents.articles(df, closed_only=True).first()
+    assert (r.title, r.fulltext) == ("R&ampD &<A&#66 &nosuch; & &amp", "# R&ampD &<A&#66 &nosuch; & &amp\n\nx &amp y")
+    assert documents.articles(df).first().title == "R&D &<AB &nosuch; & &"

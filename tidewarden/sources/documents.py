@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from html.entities import html5
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -258,19 +259,39 @@ class ArticleParser(HTMLParser):
         return joined or None
 
 
+#: Where the parser decodes no references, or an ampersand with the closed reference that it may start.
+_AMPERSAND = re.compile(r"(?is)<!--.*?-->|<(script|style)\b.*?(?:</\1|\Z)|&(#[0-9]+;|#x[0-9a-f]+;|[a-z][a-z0-9]*;)?")
+
+
+def _closed_only(page: str) -> str:
+    """``page`` with ampersands escaped that start no reference closed by a semicolon."""
+
+    def one(found: re.Match) -> str:
+        whole, name = found[0], found[2]
+        if whole[0] == "<" or name and (name[0] == "#" or name in html5):
+            return whole
+        return f"&amp;{name or ''}"
+
+    return _AMPERSAND.sub(one, page)
+
+
 ARTICLE_SCHEMA = (
     "source_link string, title string, description string, keywords array<string>, category string,"
     " author string, date_text string, canonical_url string, image_url string, fulltext string, error string"
 )
 
 
-def articles(pages: DataFrame, link: str = "source_link", body: str = "html") -> DataFrame:
-    """Article fields of HTML pages; a page without a title gives a row with ``error``."""
+def articles(pages: DataFrame, link: str = "source_link", body: str = "html", closed_only: bool = False) -> DataFrame:
+    """Article fields of HTML pages; a page without a title gives a row with ``error``.
+
+    As browsers do, ``&amp`` is read as ``&amp;``; with ``closed_only`` a character reference
+    without its semicolon, as of a title cut short, stays as it is written.
+    """
 
     def one(source_link: str, page: str | None) -> dict:
         try:
             parser = ArticleParser()
-            parser.feed(page or "")
+            parser.feed(_closed_only(page or "") if closed_only else page or "")
             title = parser.value("h1") or parser.value("title")
             if not title:
                 raise ValueError("page has no title")
